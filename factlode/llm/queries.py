@@ -5,12 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factlode.llm.encode import encode_corpus
+from factlode.llm.mix import mix_sources
+from factlode.llm.pieces import split_oversized
 from factlode.runtime import load
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "chunk").select("chunk_id", "doc_id", "pages", "section_path", "text").where("length(text) > 1200").distinct()
+    return split_oversized(rows)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(load(spark, d, "chunk").select("chunk_id", "text")).where("piece = 1").select("chunk_id").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_ids, p8_mix, p8_shares)}
+SQL: dict[str, str] = {
+    "p3_found": r"""select distinct chunk_id from chunk where length(regexp_replace(text, '^[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 1200""",
+}
