@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factlode.llm.encode import encode_corpus
 from factlode.llm.mix import mix_sources
 from factlode.llm.pieces import split_oversized
+from factlode.llm.spans import span_pairs, span_shares
 from factlode.runtime import load
 
 
@@ -31,7 +32,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return span_pairs(load(spark, d, "documents"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return span_shares(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 SQL: dict[str, str] = {
     "p3_found": r"""select distinct chunk_id from chunk where length(regexp_replace(text, '^[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 1200""",
 }
