@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factlode.functions.keys import company_code, filing_company, filing_id
 from factlode.llm.encode import encode_corpus
+from factlode.llm.groups import grouped, grouped_splits
 from factlode.llm.mix import mix_sources
 from factlode.llm.pieces import split_oversized
 from factlode.llm.spans import span_pairs, span_shares
@@ -20,6 +22,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(load(spark, d, "chunk").select("chunk_id", "text")).where("piece = 1").select("chunk_id").distinct()
 
 
+def _companies() -> Column:
+    """The companies of a question: its own and those of the filings it cites; a filing of no known form ties by itself."""
+    cited = F.transform(F.coalesce("source_document", F.array().cast("array<string>")), lambda d: F.coalesce(filing_company(filing_id(d)), F.concat(F.lit("filing:"), filing_id(d))))
+    return F.concat(F.array(company_code(F.col("company.code"))), cited)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    g = grouped(load(spark, d, "gold"), "question_id", _companies())
+    return g.where("group_size > 1 and group_key not like 'filing:%'").select(F.col("id").alias("question_id"), F.col("group_key").alias("group_code"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_splits(load(spark, d, "gold"), load(spark, d, "split_target"), "question_id", _companies())
+
+
+def p4_periods(spark: SparkSession, d: str) -> DataFrame:
+    """How the questions of each period spread over the splits."""
+    s = p4_splits(spark, d).select("question_id", "split_name")
+    periods = load(spark, d, "gold").select("question_id", "period").distinct().groupBy("question_id").agg(F.min("period").alias("period"))
+    return s.join(periods, "question_id").groupBy("split_name", "period").agg(F.count(F.lit(1)).alias("questions"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents"))
 
@@ -40,7 +64,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return span_shares(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 SQL: dict[str, str] = {
     "p3_found": r"""select distinct chunk_id from chunk where length(regexp_replace(text, '^[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 1200""",
 }
