@@ -8,11 +8,25 @@ from factlode.functions.keys import company_code, filing_company, filing_id
 from factlode.llm.encode import encode_corpus
 from factlode.llm.groups import grouped, grouped_splits
 from factlode.llm.mix import mix_sources
+from factlode.llm.overlap import question_overlaps
 from factlode.llm.pieces import split_oversized
 from factlode.llm.spans import span_pairs, span_shares
 from factlode.runtime import load
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return question_overlaps(load(spark, d, "gold")).select("question_id_1", "question_id_2")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation questions that stand on the training side too, by question set and filing cited."""
+    gold = load(spark, d, "gold")
+    pairs = question_overlaps(gold)
+    cited = gold.select("question_id", "question_set", F.explode(F.array_distinct(F.transform("source_document", filing_id))).alias("filing")).where("question_set not in ('dev', 'challenger')").distinct()
+    hit = pairs.select(F.explode(F.array("question_id_1", "question_id_2")).alias("question_id"), "overlap").groupBy("question_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("overlap").alias("overlap"))
+    return cited.join(hit, "question_id").groupBy("question_set", "filing").agg(F.count(F.lit(1)).alias("questions"), F.sum("pairs").alias("pairs"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "chunk").select("chunk_id", "doc_id", "pages", "section_path", "text").where("length(text) > 1200").distinct()
     return split_oversized(rows)
@@ -64,7 +78,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return span_shares(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 SQL: dict[str, str] = {
     "p3_found": r"""select distinct chunk_id from chunk where length(regexp_replace(text, '^[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 1200""",
 }

@@ -133,7 +133,7 @@ class FingerprintIndex:
 
         @F.pandas_udf("boolean")
         def shares(b1: pd.Series, a1: pd.Series, b2: pd.Series, a2: pd.Series) -> pd.Series:
-            return pd.Series([_common(x2, y2) + _common(x1[::-1], y1[::-1]) >= span and x2[:gram] == y2[:gram] for x1, x2, y1, y2 in zip(b1, a1, b2, a2)], dtype=bool)
+            return pd.Series([common_prefix(x2, y2) + common_prefix(x1[::-1], y1[::-1]) >= span and x2[:gram] == y2[:gram] for x1, x2, y1, y2 in zip(b1, a1, b2, a2)], dtype=bool)
 
         both = ctx.join(other, ["side", "h"]).where(F.col("cid") < F.col("cid_2"))
         return both.where(shares("before", "after", "before_2", "after_2")).select(F.col("cid").alias("cid_1"), "cid_2").distinct()
@@ -157,7 +157,7 @@ class FingerprintIndex:
         return w.join(shared, ["h", "g"], "left_semi").select("cid", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("adds")).groupBy("cid").agg(F.sum("adds").alias("chars"))
 
 
-def _common(a: str, b: str) -> int:
+def common_prefix(a: str, b: str) -> int:
     """How many first characters are equal."""
     if a == b:
         return len(a)
