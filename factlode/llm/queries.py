@@ -8,12 +8,17 @@ from factlode.functions.keys import company_code, filing_company, filing_id
 from factlode.llm.encode import encode_corpus
 from factlode.llm.groups import grouped, grouped_splits
 from factlode.llm.mix import mix_sources
+from factlode.llm.outrank import net_flow_ranking
 from factlode.llm.overlap import question_overlaps
 from factlode.llm.pieces import split_oversized
 from factlode.llm.spans import span_pairs, span_shares
 from factlode.runtime import load
 
 
+def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return net_flow_ranking(load(spark, d, "hit"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return question_overlaps(load(spark, d, "gold")).select("question_id_1", "question_id_2")
 
@@ -78,7 +83,20 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return span_shares(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 SQL: dict[str, str] = {
+    "p1_ranking": """
+with h as (select question_id g, chunk_id i, retriever r, case when isfinite(score) then score end x, run_at t from hit
+           where question_id is not null and chunk_id is not null and retriever is not null),
+best as (select g, i, r, (select null) is null ok, x from (select *, row_number() over (partition by g, i, r order by x is null, t desc nulls last, x desc) k from h) where k = 1),
+items as (select g, i, count(x) n_scores from best group by g, i),
+pairs as (select a.g, a.i, b.r, b.x from items a join (select distinct g, r from best where x is not null) s on a.g = s.g left join best b0 on b0.g = a.g and b0.i = a.i and b0.r = s.r
+          cross join lateral (select s.r r, b0.x x) b),
+pct as (select *, count(*) over (partition by g, r) n, (rank() over (partition by g, r order by x nulls first) - 1) * 2 + count(*) over (partition by g, r, x) + 1 v from pairs),
+f as (select a.g, a.i, a.r, sum(least(1.0, greatest(0.0, ((a.v - b.v) / (2.0 * a.n) - 0.05) / 0.45)) - least(1.0, greatest(0.0, ((b.v - a.v) / (2.0 * a.n) - 0.05) / 0.45))) / greatest(max(a.n) - 1, 1) f
+      from pct a join pct b on a.g = b.g and a.r = b.r group by a.g, a.i, a.r),
+phi as (select i.g, i.i, i.n_scores, round(coalesce(avg(f.f), 0.0), 9) + 0.0 net_flow from items i left join f on f.g = i.g and f.i = i.i group by all)
+select g question_id, cast(row_number() over (partition by g order by net_flow desc, i) as integer) rank, i chunk_id, net_flow, n_scores from phi
+""",
     "p3_found": r"""select distinct chunk_id from chunk where length(regexp_replace(text, '^[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 1200""",
 }
