@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from factlode.plans import units
+
+_MODULES = [units]
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "p6_found"
