@@ -8,6 +8,7 @@ from factlode.functions.keys import company_code, filing_company, filing_id
 from factlode.llm.encode import encode_corpus
 from factlode.llm.groups import grouped, grouped_splits
 from factlode.llm.mix import mix_sources
+from factlode.llm.mojibake import repair_encoding
 from factlode.llm.outrank import net_flow_ranking
 from factlode.llm.overlap import question_overlaps
 from factlode.llm.pieces import split_oversized
@@ -63,6 +64,14 @@ def p4_periods(spark: SparkSession, d: str) -> DataFrame:
     return s.join(periods, "question_id").groupBy("split_name", "period").agg(F.count(F.lit(1)).alias("questions"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair_encoding(load(spark, d, "chunk").select("chunk_id", "text")).select("chunk_id").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return repair_encoding(load(spark, d, "chunk").select("chunk_id", "text")).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents"))
 
@@ -83,7 +92,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return span_shares(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p5_found, p5_restored, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 SQL: dict[str, str] = {
     "p1_ranking": """
 with h as (select question_id g, chunk_id i, retriever r, case when isfinite(score) then score end x, run_at t from hit
