@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: What a sound filing is made of, as ranges and single characters.
@@ -17,6 +20,19 @@ STATEMENTS = ["合併資產負債表", "合併綜合損益表", "會計師查核
 MIN_PAGES, MIN_READABLE, MIN_SILENT = 20, 0.6, 5
 
 
+@lru_cache(1)
+def letters() -> str:
+    """A character class of all letters and marks beyond ASCII, of one version of Unicode in every engine."""
+    runs: list[list[int]] = []
+    for i in range(0x80, 0x110000):
+        if not 0x4E00 <= i <= 0x9FFF and unicodedata.category(chr(i))[0] in "LM":
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
 def _kept(c: Column, cls: str) -> Column:
     return F.regexp_replace(c, f"[^{cls}]", "")
 
@@ -27,8 +43,8 @@ def page_defects(pages: DataFrame, text_col: str = "text") -> DataFrame:
     odd = F.regexp_replace(F.col("__inked"), f"[{CORE}]", "")
     rest = F.regexp_replace(F.col("__odd"), f"[{CONTROL}{PRIVATE}]", "")
     d = pages.withColumn("__inked", inked).withColumn("__odd", odd).withColumn("__rest", rest)
-    letters = F.length(F.regexp_replace("__rest", r"[^\p{L}\p{M}]", ""))
-    d = d.select(*pages.columns, F.length("__inked").alias("characters"), letters.alias("off_script"), F.length(_kept(F.col("__odd"), CONTROL)).alias("controls"), F.length(_kept(F.col("__odd"), PRIVATE)).alias("private_use"), (F.length("__rest") - letters).alias("other"))
+    foreign = F.length(_kept(F.col("__rest"), letters()))
+    d = d.select(*pages.columns, F.length("__inked").alias("characters"), foreign.alias("off_script"), F.length(_kept(F.col("__odd"), CONTROL)).alias("controls"), F.length(_kept(F.col("__odd"), PRIVATE)).alias("private_use"), (F.length("__rest") - foreign).alias("other"))
     return d
 
 
