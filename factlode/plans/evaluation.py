@@ -171,7 +171,7 @@ SQL = {
     "latency_p95": "select event_type, count(*) n, quantile_disc(\"value\", 0.95) p95, list_sort(list(\"value\"))[count(*) // 2 + 1] upper_median from events group by event_type",
     "routes": f"with r as (select question_id, question, {_ROUTE} route from {S.GOLD}) select question_id, route, case when route = 'narrative' then 0.5 when route in ('metadata', 'cross_modal') or (route = 'chart' and not {_R(Q.CHART)}) then 0.6 else 0.7 end confidence from r",
     "route_confusion": f"with r as (select case question_type {' '.join(f'''when '{a}' then '{b}' ''' for a, b in Q.ROUTE_OF.items())} end gold_route, {_ROUTE} route from {S.GOLD}) select gold_route, " + ", ".join(f"count_if(route = '{r}') {r}" for r in ("metadata", "chart", "cross_modal", "numeric", "narrative")) + " from r group by gold_route",
-    "numeric_questions": f"select question_id, {S.company_code('company.code')} company_code, array_to_string({_YEARS}, ',') "years", array_to_string({_UNIQ}, ',') accounts, case when len({_UNIQ}) = 0 then null when {_R('佔|占|比率|比重|占比')} and len({_UNIQ}) >= 2 then 'ratio' when {_R('分別|(?:是多少.*){2,}')} then null when {_R('成長|增減|變動|年增|較.*(?:增加|減少)')} then case when {_R('比例|比率|率|幅度|百分比|成長|年增')} then 'growth' else 'delta' end else 'lookup' end kind from {S.GOLD}",
+    "numeric_questions": f"select question_id, {S.company_code('company.code')} company_code, array_to_string({_YEARS}, ',') \"years\", array_to_string({_UNIQ}, ',') accounts, case when len({_UNIQ}) = 0 then null when {_R('佔|占|比率|比重|占比')} and len({_UNIQ}) >= 2 then 'ratio' when {_R('分別|(?:是多少.*){2,}')} then null when {_R('成長|增減|變動|年增|較.*(?:增加|減少)')} then case when {_R('比例|比率|率|幅度|百分比|成長|年增')} then 'growth' else 'delta' end else 'lookup' end kind from {S.GOLD}",
     "tolerance_defaults": f"select question_id, coalesce(tolerance.type, case when {S.canonical_unit('unit')} = '%' then 'absolute' else 'relative' end) \"type\", coalesce(tolerance.value, case when {S.canonical_unit('unit')} = '%' then 0.1 else 0.005 end) \"value\" from {S.GOLD}",
     "gold_problems": f"""with g as (select distinct question_id, unnest(list_distinct(list_filter([case when question_type is null or question_type not in ({', '.join(S.q(t) for t in V.TYPES)}) then 'unknown_type' end, case when length(trim(coalesce(question, ''), ' ')) = 0 then 'no_question' end, case when answerable and answer is null then 'answer_missing' end, case when not answerable and answer is not null then 'answer_of_unanswerable' end,
 case when not answerable and coalesce(refusal_reason_class, '') not in ({', '.join(S.q(t) for t in V.REFUSALS)}) then 'refusal_class_missing' end, case when answerable and refusal_reason_class is not null then 'refusal_class_of_answerable' end, case when period is null or not regexp_matches(period, '{V.PERIOD}') then 'period' end, case when answerable and coalesce(len(source_document), 0) = 0 then 'no_source_document' end, case when answerable and coalesce(len(page_numbers), 0) = 0 then 'no_page' end,
