@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factlode.operators.unit_hmm import common_units, decode_units
+from factlode.plans import sqltext as S
 from factlode.runtime import load
 
 
@@ -19,4 +20,19 @@ def p6_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_units)}
-SQL: dict[str, str] = {}
+
+def _scale(u: str) -> str:
+    t = f"lower({S.no_space(S.fold(u))})"
+    steps = [("十億|billion|bn", 10**9), ("億", 10**8), ("百萬|million|mn", 10**6), ("萬", 10**4), ("千|仟|thousand|''000", 1000)]
+    return f"case when {u} is null or {t} = '' or regexp_matches({t}, '^[(]?(%|倍)[)]?$') then null " + " ".join(f"when regexp_matches({t}, '{p}') then {v}" for p, v in steps) + " else 1 end"
+
+
+SQL: dict[str, str] = {
+    "p6_found": f"""
+with k as (select *, case when account like '%每股%' then 'p' when statement = 'ratio' or regexp_matches(account, '率|比率') then 'r' when account like '%股數%' then 's' else 'm' end kind from fin_line_item where value is not null),
+e as (select *, case when kind = 's' then coalesce(nullif(regexp_extract(unit_note, '惟股數為(.+)$', 1), ''), nullif(regexp_extract(unit_note, '除股數以(.+?)計外', 1), ''), nullif(regexp_extract(unit_note, 'except share counts in (.+)$', 1), '')) end ex,
+  regexp_replace(lower(unit_note), '，?惟.*$|除(股數|每股盈餘)以.+?(計外|列示外)，?|（每股金額為.+?）|,? ?(except|other than).*$', '', 'g') note from k where kind in ('s', 'm')),
+n as (select *, coalesce(nullif(regexp_extract(note, '單位[：，為]([^）]+)', 1), ''), nullif(regexp_extract(note, '以(.+?)(?:列示|表達|為單位)', 1), ''), nullif(regexp_extract(note, '\\bin (.+?)(?: unless noted otherwise|, rounded|[)]|$)', 1), '')) stated, regexp_extract({S.fold('account')}, '[(]([^()]+)[)]$', 1) label from e),
+s as (select line_id, coalesce({_scale('ex')}, {_scale('unit')}, {_scale('stated')}, {_scale('label')}) scale from n)
+select distinct line_id, cast(scale as bigint) scale from s where scale <> 1""",
+}
