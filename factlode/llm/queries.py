@@ -13,6 +13,7 @@ from factlode.llm.outrank import net_flow_ranking
 from factlode.llm.overlap import question_overlaps
 from factlode.llm.pieces import split_oversized
 from factlode.llm.spans import span_pairs, span_shares
+from factlode.plans import sqltext as S
 from factlode.runtime import load
 
 
@@ -93,7 +94,16 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_splits, p4_periods, p5_found, p5_restored, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+_OWN = f"list_distinct(list_filter([{S.company_code('company.code')}] || list_transform(coalesce(source_document, []), lambda x: substring({S.filing_id('x')}, 1, 4)), lambda c: c is not null))"
 SQL: dict[str, str] = {
+    "p4_found": f"""
+with recursive q as (select distinct question_id, unnest({_OWN}) c from gold where question_id is not null), e as (select distinct a.c x, b.c y from q a join q b using (question_id)),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x), g as (select x, min(y) root, count(distinct y) n from r group by x)
+select distinct question_id, root group_code from q join g on q.c = g.x where n > 1""",
+    "p9_found": """
+with d as (select doc_id, text from documents where length(text) >= 200), w as (select distinct doc_id, md5_number(substring(text, i, 200)) h from (select doc_id, text, unnest(range(1, length(text) - 198)) i from d)),
+m as (select h from w group by h having count(*) > 1), s as (select doc_id, h from w join m using (h))
+select distinct a.doc_id doc_id_1, b.doc_id doc_id_2 from s a join s b on a.h = b.h and a.doc_id < b.doc_id""",
     "p1_ranking": """
 with h as (select question_id g, chunk_id i, retriever r, case when isfinite(score) then score end x, run_at t from hit
            where question_id is not null and chunk_id is not null and retriever is not null),
