@@ -27,17 +27,21 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
     zero = {n: F.coalesce(F.sum(c).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)).alias(n) for n, c in sums.items()}
     if hot.isEmpty():
         return df.select("*", *zero.values())
-    same = lambda a, b: reduce(lambda x, y: x & y, [a[g].eqNullSafe(b[g]) for g in group])
+    own = [temp_name(df.columns, f"group_{i}") for i in range(len(group))]
+    rename = lambda t: t.select(*[F.col(g).alias(o) for g, o in zip(group, own)], *[c for c in t.columns if c not in group])
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(o)) for g, o in zip(group, own)])
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    inside = df.join(hot, same(df, hot), "left_semi")
-    cuts = inside.groupBy(*group).agg(F.percentile_approx(F.col(order[0]).cast("double"), steps, F.lit(10 * ranges)).alias("cuts"))
-    cuts = materialise(cuts, "cuts")  # approximate, so fixed once
-    rng, taken = temp_name(df.columns, "range"), df.columns
-    marked = df.join(cuts, same(df, cuts), "left").select(*[df[c] for c in taken], F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order[0]).cast("double"))), F.lit(0)).alias(rng))
-    marked = materialise(marked, "ranged")
-    totals = marked.groupBy(*group, rng).agg(*[F.sum(c).alias(f"sum_{i}") for i, c in enumerate(sums.values())])
+    cuts = df.join(rename(hot), same, "left_semi").groupBy(*group).agg(F.percentile_approx(F.col(order[0]).cast("double"), steps, F.lit(10 * ranges)).alias("cuts"))
+    cuts = rename(materialise(cuts, "cuts"))  # approximate, so fixed once
+    taken = df.columns
+    rng, cut = temp_name(taken, "range"), temp_name(taken, "cuts")
+    place = F.coalesce(F.size(F.filter(F.col(cut), lambda c: c < F.col(order[0]).cast("double"))), F.lit(0))
+    marked = materialise(df.join(cuts.withColumnRenamed("cuts", cut), same, "left").select(*taken, place.alias(rng)), "ranged")
+    parts = [temp_name(taken, f"sum_{i}") for i in range(len(sums))]
+    totals = marked.groupBy(*group, rng).agg(*[F.sum(c).alias(p) for c, p in zip(sums.values(), parts)])
     before = Window.partitionBy(*group).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*group, rng, *[F.coalesce(F.sum(f"sum_{i}").over(before), F.lit(0)).alias(f"sum_{i}") for i in range(len(sums))])
+    at = temp_name(taken, "at_range")
+    totals = rename(totals.select(*group, F.col(rng).alias(at), *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(p) for p in parts]))
     within = Window.partitionBy(*group, rng).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    joined = marked.join(totals, same(marked, totals) & (marked[rng] == totals[rng])).select(*[marked[c] for c in taken], marked[rng].alias(rng), *[totals[f"sum_{i}"].alias(temp_name(taken, f"sum_{i}")) for i in range(len(sums))])
-    return joined.select(*taken, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(temp_name(taken, f"sum_{i}"))).alias(n) for i, (n, c) in enumerate(sums.items())])
+    joined = marked.join(totals, same & (F.col(rng) == F.col(at)))
+    return joined.select(*taken, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(p)).alias(n) for (n, c), p in zip(sums.items(), parts)])
