@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     until nothing changes; the number of rounds grows with the logarithm of the largest component.  Each step is a
     grouping of distinct links whose lineage is cut in the shared folder.
     """
-    both = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct()
+    both = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     stars = materialise(both.where("u != v"), "stars")
 

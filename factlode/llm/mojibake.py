@@ -299,24 +299,29 @@ def improbable_runs(blob: str, sizes: np.ndarray, model: Model) -> tuple[dict[in
     cp = codes(blob)
     ends = np.cumsum(sizes)
     runs: dict[int, list[tuple[int, int, bool]]] = {}
-    if len(cp) < 2:
-        return ({int(np.flatnonzero(sizes)[0]): [(0, 1, False)]} if len(cp) and cp[0] == 0xFFFD else runs), cp, ends
+    if not len(cp):
+        return runs, cp, ends
     s = model.scores(cp)
     edge = ends[(ends > 0) & (ends < len(cp))] - 1
     # a broken or private character is improbable beside anything
     private = (cp >= 0xF020) & (cp <= 0xF07E)
     at = np.flatnonzero((cp == 0xFFFD) | private)
     s[np.concatenate([at[at > 0] - 1, at[at < len(s)]])] = 3.0
-    s[edge] = -1e6
     lead, cont = _masks()
     hits = (lead[cp[:-1]] & cont[cp[1:]]) != 0
+    # what may be a whole character of UTF-8 is tried even where the corpus is full of it
+    s[hits] = np.maximum(s[hits], LEAST)
     hits[edge] = False
+    s[edge] = -1e6
     wide = (cp > 0x7F) & (cp != 0xFFFD)
     odd = (cp == 0xFFFD) | private
     notable = odd | (wide & (model.bits[cp] < RARE))
     near = hits.copy()  # a probable pair may end a run just before or behind
     near[1:] |= hits[:-1]
     near[:-1] |= hits[1:]
+    alone = np.flatnonzero(sizes == 1)
+    for o in alone[odd[ends[alone] - 1]].tolist():
+        runs[o] = [(0, 1, False)]
     found = segments(s, near | notable[:-1] | notable[1:])
     if not found:
         return runs, cp, ends

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factlode.llm.bpe import codes
 from factlode.llm.encode import slices
-from factlode.llm.winnow import GRAM, SPAN, choose, gram_hashes
+from factlode.llm.winnow import GRAM, SPAN, choose, gram_hashes, periodic_runs
 from factlode.runtime import materialise
 
 #: Runs of one level that are merged into one of the next.
@@ -140,13 +140,14 @@ class FingerprintIndex:
 
     def covered(self, texts: DataFrame) -> DataFrame:
         """How many characters of each text lie in spans that another text has too: cid, chars."""
-        span, reach = self.span, self.span - self.gram
+        gram, span, reach = self.gram, self.span, self.span - self.gram
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
                     cp = codes(r["text"])
-                    starts = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, len(cp) - span) + 1) for p in r["places"]] or [np.zeros(0, np.int64)])).astype(np.int64)
+                    spread = [(p, p) for p in r["places"]] + periodic_runs(cp, sorted(r["places"]), gram)
+                    starts = np.unique(np.concatenate([np.arange(max(0, a - reach), min(b, len(cp) - span) + 1) for a, b in spread] or [np.zeros(0, np.int64)])).astype(np.int64)
                     h, g = gram_hashes(cp, span)[starts], gram_hashes(cp ^ np.uint32(0x5A5), span)[starts]
                     yield pa.RecordBatch.from_arrays([pa.array([r["cid"]] * len(starts), pa.binary()), pa.array(starts, pa.int32()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["cid", "start", "h", "g"])
 

@@ -89,6 +89,23 @@ def _periodic(cp: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarray,
     return at[period == 0], np.array(more, np.int64)
 
 
+def periodic_runs(cp: np.ndarray, places: list[int], gram: int) -> list[tuple[int, int]]:
+    """First and last gram of each periodic run that holds one of ``places``; ``choose`` takes only those at its ends."""
+    out: list[tuple[int, int]] = []
+    for x in places:
+        if out and out[-1][0] <= x <= out[-1][1]:
+            continue
+        for p in range(1, PERIOD + 1):
+            if p < gram and (cp[x + p : x + gram] == cp[x : x + gram - p]).all():
+                off = np.flatnonzero(cp[p:] != cp[:-p])  # i: character i + p breaks the period
+                k = int(np.searchsorted(off, x))
+                left = int(off[k - 1]) + 1 if k else 0
+                right = int(off[k]) + p if k < len(off) else len(cp)
+                out.append((left, right - gram))
+                break
+    return out
+
+
 def choose(cp: np.ndarray, lengths: np.ndarray, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that lie one behind the other in ``cp``: the text, the place in it and the hash of each chosen gram.
 
