@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factlode.plans import evaluation, facts, pages, retrieval, units
+from factlode.plans import evaluation, facts, pages, retrieval, structure, units
 
-_MODULES = [units, facts, retrieval, pages, evaluation]
+_MODULES = [units, facts, retrieval, pages, evaluation, structure]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "p6_found"
