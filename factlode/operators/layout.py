@@ -13,11 +13,11 @@ BODY_SHARE, BODY_CHARS = 0.03, 2000
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
-    """Per document the size of most characters, and the largest size that is still body text (at least 3 % and, in long documents, 2,000 characters)."""
+    """Per document the size of most characters, and the largest size that is still body text (at least 3 % and 2,000 characters)."""
     s = lines.withColumn("chars", F.length(F.regexp_replace("text", r"(?U)\s+", ""))).groupBy("doc_id", F.round("size", 1).alias("size")).agg(F.sum("chars").alias("chars"))
     w = Window.partitionBy("doc_id")
     s = s.withColumn("all", F.sum("chars").over(w))
-    body = (F.col("chars") >= BODY_SHARE * F.col("all")) & ((F.col("chars") >= BODY_CHARS) | (F.col("all") < 10 * BODY_CHARS))
+    body = (F.col("chars") >= BODY_SHARE * F.col("all")) & (F.col("chars") >= BODY_CHARS)
     return s.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("dominant"), F.max(F.when(body, F.col("size"))).alias("ceiling")).withColumn("ceiling", F.coalesce("ceiling", "dominant"))
 
 

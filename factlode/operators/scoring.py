@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from decimal import Decimal
 
 import pandas as pd
@@ -9,7 +10,7 @@ import regex as re
 import unicodedata
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from factlode.functions.text import bigrams, is_refusal, nfkc, no_space, normal_text, roc_to_common_era
+from factlode.functions.text import is_refusal, no_space, normal_text, roc_to_common_era
 from factlode.operators.facts import canonical_unit
 
 #: Magnitude words after a figure.
@@ -53,14 +54,23 @@ def numeric_match(got: pd.Series, wanted: pd.Series, unit: pd.Series, kind: pd.S
     return pd.Series([None if w is None else numbers_agree(figures(g, u), figures(w, u), k, None if v is None or v != v else float(v)) for g, w, u, k, v in zip(got, wanted, unit, kind, value)], dtype=object)
 
 
-def bag_f1(a: Column, b: Column) -> Column:
-    """Harmonic mean of precision and recall of two lists of terms with repetition: 1 where both are empty."""
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+def bigram_f1(a: str | None, b: str | None) -> float | None:
+    """Harmonic mean of precision and recall of two texts' bigrams with repetition: 1 where both are empty."""
+    if a is None or b is None:
+        return None
+    grams = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1)) if len(t) > 1 else Counter([t] if t else [])
+    x, y = grams(a), grams(b)
+    size = x.total() + y.total()
+    return 2.0 * (x & y).total() / size if size else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _f1(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([bigram_f1(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    return bag_f1(bigrams(normal_text(a)), bigrams(normal_text(b)))
+    return _f1(normal_text(a), normal_text(b))
 
 
 def default_tolerance(unit: Column) -> Column:
@@ -81,7 +91,7 @@ def score_answers(answers: DataFrame) -> DataFrame:
     exact = F.coalesce(F.col("p") == F.col("w"), F.lit(False)) | F.array_contains("vs", F.col("p"))
     a = a.withColumn("exact", exact).withColumn("refused", is_refusal(F.coalesce("predicted", F.lit(""))))
     a = a.withColumn("numeric", numeric_match(F.coalesce("predicted", F.lit("")), F.col("answer"), F.col("unit"), F.col("tolerance.type"), F.col("tolerance.value")))
-    a = a.withColumn("f1", F.when(F.col("w").isNotNull(), F.round(bag_f1(bigrams(F.col("p")), bigrams(F.col("w"))), 6)))
+    a = a.withColumn("f1", F.round(_f1(F.col("p"), F.col("w")), 6))
     unit_ok = F.when(F.col("unit").isNotNull(), F.coalesce(canonical_unit(F.col("predicted_unit")) == canonical_unit(F.col("unit")), F.lit(False)))
     period_ok = F.coalesce(same(F.col("predicted_period")) == same(F.col("period")), F.lit(False))
     a = a.withColumn("unit_ok", unit_ok).withColumn("period_ok", period_ok)
@@ -89,10 +99,23 @@ def score_answers(answers: DataFrame) -> DataFrame:
     return a.select("question_id", "exact", "f1", "numeric", "unit_ok", "period_ok", "refused", (~F.col("answerable")).alias("should_refuse"), right.alias("correct"))
 
 
-def supports(claim: Column, evidence: Column) -> Column:
+_ATOM = re.compile(r"[0-9][0-9.]+|[A-Za-z]{2,}|[\u4e00-\u9fff]{2,}")
+
+
+def _one_form(text: str) -> str:
+    return "".join(unicodedata.normalize("NFKC", text).split()).translate(str.maketrans("仟臺", "千台"))
+
+
+def holds(claim: str | None, evidence: str | None) -> bool | None:
     """Whether evidence holds a claim: as it stands without white space, without separators, or by every figure and term it has."""
-    one = lambda c: F.translate(no_space(nfkc(c)), "仟臺", "千台")
-    c, e = one(claim), one(evidence)
-    bare = lambda x: F.replace(x, F.lit(","), F.lit(""))
-    atoms = F.regexp_extract_all(bare(c), F.lit(r"([0-9][0-9.]+|[A-Za-z]{2,}|[\x{4e00}-\x{9fff}]{2,})"), F.lit(1))
-    return F.contains(e, c) | F.contains(bare(e), bare(c)) | ((F.size(atoms) > 0) & F.forall(atoms, lambda a: F.contains(bare(e), a)))
+    if claim is None or evidence is None:
+        return None
+    c, e = _one_form(claim), _one_form(evidence)
+    bare = lambda x: x.replace(",", "")
+    atoms = _ATOM.findall(bare(c))
+    return c in e or bare(c) in bare(e) or bool(atoms) and all(a in bare(e) for a in atoms)
+
+
+@F.pandas_udf(T.BooleanType())
+def supports(claim: pd.Series, evidence: pd.Series) -> pd.Series:
+    return pd.Series([holds(c, e) for c, e in zip(claim, evidence)], dtype=object)

@@ -32,6 +32,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object per row, all columns in order; the separators U+0085, U+2028 and U+2029 are escaped, other text stays as it is."""
     line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    for c in ("\x85", " ", " "):
+    for c in ("\x85", "\u2028", "\u2029"):
         line = F.replace(line, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     df.select(line.alias("value")).write.text(path)
