@@ -234,8 +234,8 @@ def _two_byte(text: str, model: Model) -> tuple[int, int, str] | None:
     return i, j, good
 
 
-_PRIVATE = re.compile("[-]+")
-_BULLET = re.compile(r"(?:^|[\n\r\x0b\x0c\x85  ])[ \t　]*$")
+_PRIVATE = re.compile("[\uf020-\uf07e]+")
+_BULLET = re.compile(r"(?:^|[\n\r\x0b\x0c\x85  ])[ \t　]*$")
 
 
 def _symbols(text: str) -> list[tuple[int, int, str]]:

@@ -16,7 +16,7 @@ LIMIT, OVERLAP = 1200, 100
 REACH = 0.25
 
 _EDGE = "".join(map(chr, WHITE))
-_LINE = "\n\r\x0b\x0c\x85  "
+_LINE = "\n\r\x0b\x0c\x85\u2028\u2029"
 #: Boundaries from the strongest; each match ends where the cut may lie.
 _PAUSES = [
     (5, re.compile(rf"(?:\r\n|[{_LINE}])[ \t　]*(?:\r\n|[{_LINE}])+")),
@@ -42,7 +42,7 @@ def _snap(text: str, low: int, high: int, target: int) -> tuple[int, int] | None
 def _hard(text: str, low: int, high: int, target: int) -> int:
     """A cut that parts no line end and no character from its marks, where that is possible."""
     for cut in sorted(range(low, high + 1), key=lambda e: (abs(e - target), e))[:64]:
-        if not (unicodedata.combining(text[cut]) or text[cut] in "‍︎️" or text[cut - 1 : cut + 1] == "\r\n"):
+        if not (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0e\ufe0f" or text[cut - 1 : cut + 1] == "\r\n"):
             return cut
     return target
 
