@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def once_each(df: DataFrame, key: str) -> DataFrame:
+    """One row per ``key``, on as many partitions as there are cores at least: costly work may follow, so they are not to be merged for being small."""
+    return df.repartition(width(df.sparkSession), key).dropDuplicates([key])
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a stage that is to use every core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there, so a lost executor costs
     no recomputation and every reader sees the same rows."""
