@@ -39,12 +39,12 @@ def width(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
+def materialise(df: DataFrame, tag: str = "t", by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there, so a lost executor costs
-    no recomputation and every reader sees the same rows."""
+    no recomputation and every reader sees the same rows.  by: a column whose values lie in folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
