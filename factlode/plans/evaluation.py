@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factlode.functions.keys import company_code, filing_id
 from factlode.functions.text import answer_atoms, characters_of, excerpt, jaccard, gram_set
+from factlode.operators.audit import audit_sample, leakage
 from factlode.operators import fusion, gates, questions as Q, scoring, validate as V
 from factlode.plans import sqltext as S
 from factlode.plans.retrieval import _TARGETS, _hits, _targets, gold
@@ -150,7 +151,15 @@ def variant_similarity(spark: SparkSession, d: str) -> DataFrame:
     return g.select("question_id", "variant", F.round(jaccard(gram_set(F.col("answer")), gram_set(F.col("variant"))), 6).alias("similarity"), F.size(answer_atoms(F.col("answer"))).alias("atoms"))
 
 
-QUERIES = {f.__name__: f for f in (wilson_by_type, rates_by_set, paired_recall, latency_p95, routes, route_confusion, numeric_questions, answer_scores, tolerance_defaults, gold_problems, repeated_ids, repeated_questions, composition, filing_coverage, shared_companies, manifest_counts, evidence_places, row_keys, worklist, error_buckets, claim_support, variant_similarity)}
+def leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage(load(spark, d, "gold"))
+
+
+def audit_picks(spark: SparkSession, d: str) -> DataFrame:
+    return audit_sample(load(spark, d, "gold"))
+
+
+QUERIES = {f.__name__: f for f in (leaks, audit_picks, wilson_by_type, rates_by_set, paired_recall, latency_p95, routes, route_confusion, numeric_questions, answer_scores, tolerance_defaults, gold_problems, repeated_ids, repeated_questions, composition, filing_coverage, shared_companies, manifest_counts, evidence_places, row_keys, worklist, error_buckets, claim_support, variant_similarity)}
 
 _Z = 1.959963984540054
 _WIL = lambda s: f"case when n > 0 then least(1.0, greatest(0.0, round((k/n + {_Z * _Z}/(2.0*n) {s} {_Z} * sqrt(k/n*(1-k/n)/n + {_Z * _Z}/(4.0*n*n))) / (1 + {_Z * _Z}/n), 6))) end"
