@@ -65,7 +65,7 @@ class FingerprintIndex:
     def add_in_batches(self, texts: DataFrame, batches: int = BATCHES) -> None:
         """Takes texts as so many batches, fingerprinted in one pass."""
         marked = texts.withColumn("batch", F.pmod(F.xxhash64("cid"), F.lit(batches)).cast("int"))
-        prints = self._run(fingerprints(marked, self.gram, self.span, ["batch"]))
+        prints = materialise(fingerprints(marked, self.gram, self.span, ["batch"]).repartitionByRange("print").sortWithinPartitions("batch", "print"), "runs", "batch")
         for b in range(batches):
             self._meet(prints.where(F.col("batch") == b).drop("batch"))
 
