@@ -9,7 +9,7 @@ from factlode.functions.text import answer_atoms, characters_of, excerpt, jaccar
 from factlode.operators.audit import audit_sample, leakage
 from factlode.operators import fusion, gates, questions as Q, scoring, validate as V
 from factlode.plans import sqltext as S
-from factlode.plans.retrieval import _TARGETS, _hits, _targets, gold
+from factlode.plans.retrieval import _NEAR, _TARGETS, _hits, _targets, gold
 from factlode.runtime import load
 
 
@@ -174,6 +174,10 @@ _H = lambda r: f"(select question_id query, chunk_id, min(rank) rank, any_value(
 _REC = lambda r: f"(select t.query, coalesce(min(h.rank), 99) <= 5 ok from t semi join {_H(r)} s on s.query = t.query left join (select query, rank, doc, unnest(pages) page from {_H(r)}) h on h.query = t.query and h.doc = t.doc and h.page = t.page group by t.query)"
 _E = "list_filter(coalesce(required_evidence, []), lambda e: {})"
 SQL = {
+    "leaks": _NEAR + f""", side as (select *, case when question_set in ('dev', 'challenger') then 1 else 2 end side from {S.GOLD}), q as (select class, list_distinct(list(side)) s from m join side on side.question_id = m.id group by class),
+firm as (select {S.company_code('company.code')} k, side from side), doc as (select {S.filing_id('x')} k, side from (select side, unnest(source_document) x from side))
+select 'company' kind, k key from firm where k is not null group by k having count(distinct side) = 2 union all select 'document', k from doc where k is not null group by k having count(distinct side) = 2 union all select 'question', class from q where len(s) = 2
+union all select 'question', a.class || '|' || b.class from s a join s b on a.class < b.class join q x on x.class = a.class join q y on y.class = b.class where len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) >= 0.8 and len(list_distinct(x.s || y.s)) = 2""",
     "wilson_by_type": f"with g as (select question_type, count_if(answerable) n, count_if(answerable and audited) k from {S.GOLD} group by 1) select question_type, n, k, case when n > 0 then round(k / n, 6) end rate, {_WIL('-')} low, {_WIL('+')} high from g",
     "rates_by_set": f"select question_set, question_type, cast(grouping(question_set, question_type) as integer) level, count(*) n, count_if(answerable) answerable, round(count_if(answerable) / count(*), 6) rate from {S.GOLD} group by grouping sets ((question_set), (question_set, question_type), ())",
     "paired_recall": f"with t as {_TARGETS}, a as {_REC('lexical')}, b as {_REC('dense')}, c as (select count(*) n, cast(count_if(not a.ok and b.ok) as bigint) gained, cast(count_if(a.ok and not b.ok) as bigint) lost from a join b using (query)) select 'lexical' baseline, 'dense' candidate, n, gained, lost, round(case when gained + lost = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, cast(least(gained, lost) as bigint) + 1), lambda i: exp(lgamma(gained + lost + 1.0) - lgamma(i + 1.0) - lgamma(gained + lost - i + 1.0) + (gained + lost) * ln(0.5))))) end, 9) p from c",
