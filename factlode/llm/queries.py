@@ -100,6 +100,11 @@ SQL: dict[str, str] = {
 with recursive q as (select distinct question_id, unnest({_OWN}) c from gold where question_id is not null), e as (select distinct a.c x, b.c y from q a join q b using (question_id)),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x), g as (select x, min(y) root, count(distinct y) n from r group by x)
 select distinct question_id, root group_code from q join g on q.c = g.x where n > 1""",
+    "p9_shared": """
+with d as (select doc_id, text from documents where length(text) >= 200), w as (select doc_id, i, md5_number(substring(text, i, 200)) h from (select doc_id, text, unnest(range(1, length(text) - 198)) i from d)),
+m as (select h from w group by h having count(distinct doc_id) > 1), s as (select doc_id, least(coalesce(lead(i) over (partition by doc_id order by i) - i, 200), 200) a from w join m using (h)), c as (select doc_id, cast(sum(a) as bigint) n from s group by 1),
+k as (select text, count(distinct doc_id) copies from d group by text)
+select t.doc_id, coalesce(length(t.text), 0) chars, coalesce(k.copies, 1) copies, coalesce(c.n, 0) shared_chars, case when length(t.text) > 0 then coalesce(c.n, 0) / length(t.text) else 0.0 end share from documents t left join c using (doc_id) left join k on k.text = t.text""",
     "p9_found": """
 with d as (select doc_id, text from documents where length(text) >= 200), w as (select distinct doc_id, md5_number(substring(text, i, 200)) h from (select doc_id, text, unnest(range(1, length(text) - 198)) i from d)),
 m as (select h from w group by h having count(*) > 1), s as (select doc_id, h from w join m using (h))
