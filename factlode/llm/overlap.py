@@ -150,7 +150,7 @@ def question_overlaps(gold: DataFrame, training: tuple[str, ...] = ("dev", "chal
     pages = F.array_sort(F.array_distinct(F.filter(F.coalesce("page_numbers", F.array().cast("array<int>")), lambda x: x.isNotNull())))
     rows = gold.select("question_id", (~F.col("question_set").isin(*training)).alias("side"), normal(F.col("question")).alias("n"), company_code(F.col("company.code")).alias("code"), _normal_period(F.col("period")).alias("period"), filings.alias("filings"), pages.alias("pages"))
     rows = rows.where("question_id is not null and side is not null").select("question_id", "side", "n.text", "n.said", "code", "period", "filings", "pages")
-    key = F.sha2(F.to_json(F.struct("side", "text", "said", "code", "period", "filings", "pages")), 256)
+    key = F.unhex(F.md5(F.to_json(F.struct("side", "text", "said", "code", "period", "filings", "pages"))))
     rows = materialise(rows.withColumn("rec", key).distinct(), "questions")
     once = rows.drop("question_id").dropDuplicates(["rec"])
     blocks = F.flatten(F.transform("filings", lambda f: F.transform("pages", lambda p: F.concat(f, F.lit("#"), p.cast("string")))))
