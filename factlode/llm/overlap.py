@@ -1,4 +1,4 @@
-"""Records that stand, exactly or almost, on both sides of a split: content-defined chunks and an exact check."""
+"""Records that stand, exactly or almost, on both sides of a split: content-defined chunks, and keys that meet whatever the exact check accepts."""
 
 from __future__ import annotations
 
@@ -117,8 +117,41 @@ def slips(a: str, b: str) -> bool:
     return len(a) == len(b) > APART and (a[1:] == b[:-1] or a[:-1] == b[1:])
 
 
+def slip_keys(text: str) -> list[int]:
+    """Digests of a text without its doublings, as it is and with each character left out: two that slips() takes for one have a digest in common."""
+    t = _DOUBLE.sub(r"\1", text)
+    return sorted({xxhash.xxh64_intdigest(f.encode()) - (1 << 63) for f in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))})
+
+
+def slip_pairs(records: DataFrame) -> DataFrame:
+    """Pairs of records of different sides that share a block and a slip key: rec_1 (side false), rec_2 (side true).
+
+    records: as for chunk_overlaps.  No pair that slips() accepts is missing; others may be among them.
+    Null or empty texts and records without blocks pair with nothing.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(slip_keys)
+
+    r = records.where("text != '' and size(blocks) > 0")
+    placed = r.select("rec", "side", "text", F.explode("blocks").alias("block"))
+    # keys are made only where a block has both sides
+    mixed = placed.groupBy("block").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low != high").select("block")
+    keyed = placed.join(mixed, "block").select("rec", "side", "block", F.explode(keys("text")).alias("digest"))
+    left = keyed.where("not side").select("block", "digest", F.col("rec").alias("rec_1"))
+    right = keyed.where("side").select("block", "digest", F.col("rec").alias("rec_2"))
+    return left.join(right, ["block", "digest"]).select("rec_1", "rec_2").distinct()
+
+
+def shared_part(text_1: str, text_2: str) -> float:
+    """The greater part of either text that lies in chunks the other has too."""
+    a, b = chunks(text_1), chunks(text_2)
+    return sum(n for _, n in set(a) & set(b)) / min(sum(n for _, n in a), sum(n for _, n in b))
+
+
 def same_question(text_1: str, said_1: list[str], period_1: str | None, code_1: str | None, text_2: str, said_2: list[str], period_2: str | None, code_2: str | None) -> bool:
-    """The exact check behind the chunks: same company, periods and matter, slips of typing aside."""
+    """The exact check behind the keys: same company, periods and matter, slips of typing aside."""
     if code_1 and code_2 and code_1 != code_2:
         return False
     if period_1 and period_2 and period_1 != period_2:
@@ -132,12 +165,12 @@ def _normal_period(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.upper(c), r"(?U)\s+", ""), F.lit(""))
 
 
-def question_overlaps(gold: DataFrame, training: tuple[str, ...] = ("dev", "challenger"), min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def question_overlaps(gold: DataFrame, training: tuple[str, ...] = ("dev", "challenger")) -> DataFrame:
     """Questions of the evaluation sets that the training sets ask too: question_id_1 < question_id_2, overlap.
 
     gold: question_id, question_set, question, company.code, period, source_document, page_numbers.  Sets not named in ``training`` are
-    evaluation sets.  Two questions are one if they cite a filing in common and share a page number, content-defined
-    chunks cover at least ``min_overlap`` of either, and company, periods and matter agree however they are worded or typed.
+    evaluation sets.  Two questions are one if they cite a filing in common and share a page number, and company, periods and
+    matter agree however they are worded or typed; overlap is the part of either that content-defined chunks cover, of any size.
     Rows without an id, set, question, filing or page overlap nothing; an unknown code or period agrees with any.
     Repeated rows and equal questions are compared once and come out as all their pairs.
     """
@@ -154,16 +187,17 @@ def question_overlaps(gold: DataFrame, training: tuple[str, ...] = ("dev", "chal
     rows = materialise(rows.withColumn("rec", key).distinct(), "questions")
     once = rows.drop("question_id").dropDuplicates(["rec"])
     blocks = F.flatten(F.transform("filings", lambda f: F.transform("pages", lambda p: F.concat(f, F.lit("#"), p.cast("string")))))
-    near = chunk_overlaps(once.select("rec", "side", "text", blocks.alias("blocks")), min_overlap)
+    near = slip_pairs(once.select("rec", "side", "text", blocks.alias("blocks")))
     cols = ["text", "said", "period", "code"]
     full = lambda n: once.select(F.col("rec").alias(f"rec_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in cols])
 
-    @F.pandas_udf("boolean")
-    def same(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([same_question(t1, list(s1), p1, c1, t2, list(s2), p2, c2) for t1, s1, p1, c1, t2, s2, p2, c2 in zip(a, b, c, d, e, f, g, h)], dtype=bool)
+    @F.pandas_udf("double")
+    def overlap(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, g: pd.Series, h: pd.Series) -> pd.Series:
+        """Null where the two are not one question."""
+        return pd.Series([shared_part(t1, t2) if same_question(t1, list(s1), p1, c1, t2, list(s2), p2, c2) else None for t1, s1, p1, c1, t2, s2, p2, c2 in zip(a, b, c, d, e, f, g, h)], dtype=float)
 
     near = near.join(full(1), "rec_1").join(full(2), "rec_2")
-    near = near.where(same(*[F.col(f"{c}_{n}") for n in (1, 2) for c in cols])).select("rec_1", "rec_2", F.greatest("overlap_1", "overlap_2").alias("overlap"))
+    near = near.select("rec_1", "rec_2", overlap(*[F.col(f"{c}_{n}") for n in (1, 2) for c in cols]).alias("overlap")).where("overlap is not null")
     ids = rows.select("rec", "question_id").distinct()
     out = near.join(ids.select(F.col("rec").alias("rec_1"), F.col("question_id").alias("i")), "rec_1").join(ids.select(F.col("rec").alias("rec_2"), F.col("question_id").alias("j")), "rec_2")
     return out.where("i != j").groupBy(F.least("i", "j").alias("question_id_1"), F.greatest("i", "j").alias("question_id_2")).agg(F.max("overlap").alias("overlap"))

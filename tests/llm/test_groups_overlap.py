@@ -1,11 +1,12 @@
 """Grouped splits and cross-split overlaps."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from factlode.llm.groups import allocate, balance, components, grouped, grouped_splits
-from factlode.llm.overlap import chunk_overlaps, chunks, normal_question, question_overlaps, slips
+from factlode.llm.overlap import chunk_overlaps, chunks, normal_question, question_overlaps, same_question, slip_keys, slips
 
 
 def test_components_equal_union_find(spark):
@@ -116,3 +117,24 @@ def test_rare_chunks_lose_no_pair(spark):
                     want.add((a[0], b[0]))
     got = {(r.rec_1, r.rec_2) for r in chunk_overlaps(df, 0.6).collect()}
     assert want <= got and want
+
+
+def test_slip_keys_meet_whatever_slips_accepts():
+    texts = ["".join(t) for n in range(1, 8) for t in itertools.product("甲乙", repeat=n)] + ["甲乙丙丁戊己庚辛"[:i] + "甲乙丙丁戊己庚辛"[i + 1 :] for i in range(8)]
+    keys = [set(slip_keys(t)) for t in texts]
+    assert all(k & m for (a, k), (b, m) in itertools.product(zip(texts, keys), repeat=2) if slips(a, b))
+
+
+def test_a_slip_at_any_place_loses_no_pair(spark):
+    rng = random.Random(5)
+    doc, rows = ["0424-FY2021-XB"], []
+    for k in range(12):
+        q = "".join(rng.sample("曜禾航運霖謙石專案設備汰換營業成本毛利資產總額", 10 + k % 5))
+        rows.append((f"D{k}", "dev", q, ("x", "0424"), "FY2021", doc, [k]))
+        rows += [(f"L{k}-{i}", "locked", q[:i] + q[i + 1 :], ("x", "0424"), "FY2021", doc, [k]) for i in range(len(q))]
+        rows += [(f"M{k}-{i}", "probe", q[:i] + q[i] + q[i:], ("x", "0424"), "FY2021", doc, [k]) for i in range(len(q))]
+    normal = {r[0]: normal_question(r[2]) for r in rows}
+    one = lambda a, b: same_question(*normal[a[0]], a[4], a[3][1], *normal[b[0]], b[4], b[3][1])
+    want = {(a[0], b[0]) for a in rows if a[1] == "dev" for b in rows if b[1] != "dev" and a[6] == b[6] and one(a, b)}
+    got = {(r.question_id_1, r.question_id_2): r.overlap for r in question_overlaps(spark.createDataFrame(rows, GOLD)).collect()}
+    assert set(got) == want and min(got.values()) < 0.35
