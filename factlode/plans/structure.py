@@ -8,7 +8,7 @@ from factlode.functions.text import numbering_level, parse_amount, roc_period
 from factlode.operators import answers as A, tables as T
 from factlode.plans import sqltext as S
 from factlode.plans.pages import page_texts
-from factlode.plans.retrieval import _hits, asked, chunks, gold
+from factlode.plans.retrieval import _hits, chunks, gold
 from factlode.runtime import load
 
 
@@ -43,9 +43,9 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts of the query set from the five best reranked chunks."""
+    """A prompt for every question from its five best reranked chunks; nothing is searched here.  The SQL gives those of the query set of searches."""
     h = _hits(spark, d, "rerank").where("rank <= 5").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").withColumnRenamed("doc", "doc_id")
-    return A.build_prompts(asked(spark, d).select(F.col("question_id").alias("query"), "question"), h)
+    return A.build_prompts(gold(spark, d).select(F.col("question_id").alias("query"), "question"), h)
 
 
 def page_bases(spark: SparkSession, d: str) -> DataFrame:
