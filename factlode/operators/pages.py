@@ -7,6 +7,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factlode.functions.text import excerpt
+
 #: What a sound filing is made of, as ranges and single characters.
 CORE = r"\x{20}-\x{7E}\x{2000}-\x{22FF}\x{2460}-\x{24FF}\x{25A0}-\x{27BF}\x{3000}-\x{303F}\x{3100}-\x{312F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}®é×§öó°÷íÖ±Δäø¥€µ‰Ω©²³½àáâãçèêëìîïñòôõùúûüýÿÁÉÍÓÚÜÑÇ"
 WHITE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -100,3 +102,29 @@ def repeated_lines(lines: DataFrame, share: float = 0.5, least: int = 2) -> Data
     n = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     k = lines.where("key <> ''").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("on_pages"))
     return k.join(n, "doc_id").where(F.col("on_pages") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("doc_id", "key", "on_pages")
+
+
+#: Topics of probes and the spellings that locate each on a page, the first before the next.
+PROBE_TOPICS = {"revenue": ["營業收入"], "gross_profit": ["營業毛利"], "operating_income": ["營業利益"], "net_income": ["本期淨利", "淨利（淨損）"], "eps": ["基本每股盈餘", "每股盈餘"], "total_assets": ["資產總額", "資產總計"]}
+#: Headings that mark a statement.
+HEADINGS = ["合併綜合損益表", "合併損益表", "綜合損益表", "資產負債表", "合併資產負債表"]
+
+
+def worklist(pages: DataFrame, topics: dict[str, list[str]] = PROBE_TOPICS, top_k: int = 2, pages_of_heading: int = 4) -> DataFrame:
+    """The pages of a document to open for each topic, richest in figures first; ties go by page number.
+
+    pages: doc_id, page, text.  Gives doc_id, topic, term (the first of the topic's that stands on the page), page, figures, excerpt,
+    page_headings (statement headings on that page), headings (each heading of the document with its first pages) and rank.
+    Blanks are left out of the text before anything is looked for; headings orient and filter nothing.
+    """
+    flat = pages.select("doc_id", "page", F.regexp_replace("text", f"[{WHITE}]+", "").alias("text"))
+    flat = flat.withColumn("page_headings", F.array_compact(F.array(*[F.when(F.contains("text", F.lit(h)), h) for h in HEADINGS])))
+    first = lambda terms: F.coalesce(*[F.when(F.contains("text", F.lit(t)), t) for t in terms])
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("topic"), first(t).alias("term")) for k, t in topics.items()]), lambda x: x.term.isNotNull())
+    hits = flat.select("doc_id", "page", "page_headings", "text", F.regexp_count("text", F.lit(r"(?U)\d{1,3}(?:,\d{3})+")).alias("figures"), F.explode(found).alias("t"))
+    hits = hits.select("doc_id", "t.topic", "t.term", "page", "figures", excerpt(F.col("text"), F.col("t.term")).alias("excerpt"), "page_headings")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "topic").orderBy(F.desc("figures"), "page"))).where(F.col("rank") <= top_k)
+    at = flat.select("doc_id", "page", F.explode("page_headings").alias("heading")).groupBy("doc_id", "heading").agg(F.slice(F.array_sort(F.collect_set("page")), 1, pages_of_heading).alias("pages"))
+    at = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("heading", "pages"))).alias("headings"))
+    empty = F.array().cast("array<struct<heading:string,pages:array<int>>>")
+    return hits.join(at, "doc_id", "left").select("doc_id", "topic", "term", "page", "figures", "excerpt", "page_headings", F.coalesce("headings", empty).alias("headings"), "rank")

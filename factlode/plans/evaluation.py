@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factlode.functions.keys import company_code, filing_id
-from factlode.functions.text import answer_atoms, characters_of, excerpt, jaccard, gram_set
+from factlode.functions.text import answer_atoms, characters_of, jaccard, gram_set
 from factlode.operators.audit import audit_sample, leakage
-from factlode.operators import fusion, gates, questions as Q, scoring, validate as V
+from factlode.operators import fusion, gates, pages, questions as Q, scoring, validate as V
 from factlode.plans import sqltext as S
 from factlode.plans.retrieval import _NEAR, _TARGETS, _hits, _targets, gold
 from factlode.runtime import load
@@ -118,13 +118,10 @@ def row_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def worklist(spark: SparkSession, d: str) -> DataFrame:
-    """For each filing the two pages richest in figures that name 資產總額, with an excerpt."""
-    from pyspark.sql import Window
-
+    """For each filing and topic the two pages richest in figures that name it, with an excerpt and the statement headings.  The SQL gives 資產總額 alone."""
     from factlode.plans.pages import page_texts
 
-    p = page_texts(spark, d).where(F.contains("text", F.lit("資產總額"))).select("doc_id", "page", F.regexp_count("text", F.lit("[0-9]{1,3}(?:,[0-9]{3})+")).alias("figures"), excerpt(F.col("text"), F.lit("資產總額")).alias("excerpt"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("figures"), "page"))).where("rank <= 2")
+    return pages.worklist(page_texts(spark, d))
 
 
 def error_buckets(spark: SparkSession, d: str) -> DataFrame:
