@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factlode.functions.stats import mcnemar, wilson
 
@@ -49,3 +49,24 @@ def verify(claimed: DataFrame, recomputed: DataFrame, keys: list[str], places: i
     j = a.join(b, keys, "full_outer")
     kind = F.when(F.col("claimed").isNull(), "missing").when(F.col("recomputed").isNull(), "unsupported").when(~F.col("claimed").eqNullSafe(F.col("recomputed")), "mismatch")
     return j.select(*keys, kind.alias("kind"), "claimed", "recomputed").where("kind is not null")
+
+
+def pooled_gain(records: DataFrame, system: str, category: str, categories: list[str], correct: str, baseline: str, candidate: str) -> DataFrame:
+    """One row, gain: percentage points of the candidate over the baseline, items of all ``categories`` pooled; null where either lacks a category."""
+    of = lambda s: (F.col(system) == s) & F.col(category).isin(categories)
+    rate = lambda s: F.when(F.count_distinct(F.when(of(s), F.col(category))) == len(set(categories)), 100.0 * F.count_if(of(s) & F.coalesce(correct, F.lit(False))) / F.count_if(of(s)))
+    return records.agg((rate(candidate) - rate(baseline)).alias("gain"))
+
+
+def refusal_rates(scores: DataFrame) -> DataFrame:
+    """One row over scores (refused, should_refuse): refused, should_refuse, correct_refusals, precision, recall; a rate without a denominator is 0."""
+    n = scores.agg(F.count_if("refused").alias("refused"), F.count_if("should_refuse").alias("should_refuse"), F.count_if(F.col("refused") & F.col("should_refuse")).alias("correct_refusals"))
+    part = lambda of: F.when(F.col(of) > 0, F.round(F.col("correct_refusals") / F.col(of), 4)).otherwise(0.0)
+    return n.select("*", part("refused").alias("precision"), part("should_refuse").alias("recall"))
+
+
+def falls(rows: DataFrame, series: list[str], cutoff: str, correct: str) -> DataFrame:
+    """Where ``correct`` falls from one cutoff of a series to the next: series, before, cutoff, correct_before, correct."""
+    w = Window.partitionBy(*series).orderBy(cutoff)
+    r = rows.select(*series, F.lag(cutoff).over(w).alias("before"), F.col(cutoff).alias("cutoff"), F.lag(correct).over(w).alias("correct_before"), F.col(correct).alias("correct"))
+    return r.where("correct < correct_before")

@@ -104,6 +104,13 @@ def repeated_lines(lines: DataFrame, share: float = 0.5, least: int = 2) -> Data
     return k.join(n, "doc_id").where(F.col("on_pages") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("doc_id", "key", "on_pages")
 
 
+def page_offsets(pages: DataFrame) -> DataFrame:
+    """Where each page lies in the text of its document, joined by line ends: doc_id, page, start, end (behind the last character); empty pages take no place."""
+    p = pages.where(F.length("text") > 0).select("doc_id", "page", F.length("text").alias("n"))
+    start = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return p.select("doc_id", "page", start.alias("start"), (start + F.col("n")).alias("end"))
+
+
 #: Topics of probes and the spellings that locate each on a page, the first before the next.
 PROBE_TOPICS = {"revenue": ["營業收入"], "gross_profit": ["營業毛利"], "operating_income": ["營業利益"], "net_income": ["本期淨利", "淨利（淨損）"], "eps": ["基本每股盈餘", "每股盈餘"], "total_assets": ["資產總額", "資產總計"]}
 #: Headings that mark a statement.

@@ -99,6 +99,21 @@ def score_answers(answers: DataFrame) -> DataFrame:
     return a.select("question_id", "exact", "f1", "numeric", "unit_ok", "period_ok", "refused", (~F.col("answerable")).alias("should_refuse"), right.alias("correct"))
 
 
+def protocol_correct(least: float = 0.8) -> Column:
+    """Correctness to the letter, over the verdicts of score_answers: refusals and figures decide where they apply, else exact or f1 of at least ``least``."""
+    return F.when(F.col("should_refuse"), F.col("refused")).when(F.col("refused"), False).otherwise(F.coalesce("numeric", F.col("exact") | F.coalesce(F.col("f1") >= least, F.lit(False))))
+
+
+def figure_text(c: Column) -> Column:
+    """A decimal as filings print it: thousands apart, two places only if it has a fraction (half to even)."""
+    return F.when(c % 1 != 0, F.format_number(F.bround(c, 2), 2)).otherwise(F.format_number(c, 0))
+
+
+def amount_text(c: Column) -> Column:
+    """A decimal as an answer states it: thousands apart, up to two places without closing zeros (half to even); null is a refusal."""
+    return F.coalesce(F.regexp_replace(F.format_number(F.bround(c, 2), 2), r"[.]?0+$", ""), F.lit("無法回答"))
+
+
 _ATOM = re.compile(r"[0-9][0-9.]+|[A-Za-z]{2,}|[\u4e00-\u9fff]{2,}")
 
 
