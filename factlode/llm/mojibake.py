@@ -21,6 +21,8 @@ POINTS = 0x110000
 PROBABLE, FLOOR, HALF = 0.6, -2.0, 300.0
 #: Least score of a run that is tried.
 LEAST = 0.3
+#: Parts of one that scores are rounded to before they are summed.
+FINE = 1 << 20
 #: Bits per character by which a reading through two-byte encodings must be likelier than the text.
 GAIN = 3.0
 #: Mean bits of the characters beyond ASCII of a run below which such readings are tried.
@@ -100,13 +102,15 @@ class Model:
 
 def segments(s: np.ndarray, worth: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
     """First and last place of each maximum-scoring run of ``s`` of at least ``least`` that holds a place of ``worth``."""
+    # sums of whole numbers are exact, so a run comes out the same wherever it stands
+    s, least = np.rint(s.astype(np.float64) * FINE).astype(np.int64), round(least * FINE)
     found, parts = [], [(0, s, np.concatenate([[0], np.cumsum(worth)]))]
     while parts:
         more = []
         for base, x, marks in parts:
-            run = np.cumsum(x, dtype=np.float64)
+            run = np.cumsum(x)
             r = run - np.minimum(np.minimum.accumulate(run), 0)
-            edge = np.diff(np.concatenate([[0], (r > 1e-9).view(np.int8), [0]]))
+            edge = np.diff(np.concatenate([[0], (r > 0).view(np.int8), [0]]))
             begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             some = marks[end] > marks[begin]
             for a, b in zip(begin[some].tolist(), end[some].tolist()):

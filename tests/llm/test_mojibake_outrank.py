@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from factlode.llm.mojibake import repair_encoding, segments
+from factlode.llm.mojibake import LEAST, repair_encoding, segments
 from factlode.llm.outrank import net_flow_ranking
 
 SENTENCES = ["研發團隊完成11項光纖收發器專利申請，累計投入10,624千元。", "公司與往來銀行簽訂額度14,417千元之授信合約，利率為18.48%。", "截至108年6月3日止，應付帳款餘額1,804千元，帳齡逾68日者占39.65%。", "管理階層認為主要客戶調整拉貨時程僅屬短期現象。", "The board approved a budget of NT$39,819 thousand, see note 4."]
@@ -49,6 +49,11 @@ def test_segments():
     assert segments(s, np.zeros(9, bool)) == [] and segments(np.zeros(0), np.zeros(0, bool)) == []
 
 
+def test_segments_are_the_same_behind_many_texts():
+    s = np.tile(np.array([-2, LEAST, -2, -1e6], np.float32), 10_000)
+    assert segments(s, s > 0) == [(i, i) for i in range(1, len(s), 4)]
+
+
 def brute(rows, q=0.05, s=0.5):
     best = {}
     for g, i, r, x, t in rows:
