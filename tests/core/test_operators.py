@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factlode.operators import answers as A, chunking, dense, facts, fusion, gates, geometry as G, layout, lexical, pages, questions as Q, scoring, tables as T, validate as V
+from factlode.operators import answers as A, chunking, dense, facts, fusion, gates, geometry as G, layout, lexical, pages, questions as Q, scoring, tables as T, unit_hmm, validate as V
 from factlode.operators.prefix import running_sums
 from factlode.operators.similarity import similar_texts
 from factlode.operators.unit_hmm import SCALES, common_units, decode_units, viterbi
@@ -105,43 +105,48 @@ def test_templates(spark):
     assert facts.year_changes(f.limit(0)).count() == 0
 
 
-def brute_viterbi(level, stated):
-    from factlode.operators.unit_hmm import JUMP, SWITCH
-
-    logs, best = np.log10(SCALES.astype(float)), None
-    free = [range(len(SCALES)) if s < 0 else [s] for s in stated]
-    for path in itertools.product(*free):
-        cost, last = 0.0, None
-        for i, k in enumerate(path):
-            if i:
-                cost += SWITCH * (path[i - 1] != k)
-                gap = level[i] - level[i - 1] + logs[k] - logs[path[i - 1]]
-                cost += 0 if np.isnan(gap) else JUMP * abs(gap)
-        del last
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, path)
-    return best
-
-
-def path_cost(level, path):
-    from factlode.operators.unit_hmm import JUMP, SWITCH
-
-    logs = np.log10(SCALES.astype(float))
-    gaps = [level[i] - level[i - 1] + logs[path[i]] - logs[path[i - 1]] for i in range(1, len(path))]
-    return sum(SWITCH * (path[i] != path[i - 1]) for i in range(1, len(path))) + sum(0 if np.isnan(g) else JUMP * abs(g) for g in gaps)
+def path_cost(model, cost, stated, same, path):
+    total = model.start[0, path[0]] if stated[0] < 0 else 0.0
+    for i, k in enumerate(path):
+        total += cost[i, k] + (model.move[0, int(same[i]), path[i - 1], k] if i else 0.0)
+    return total
 
 
 def test_viterbi_finds_a_least_path():
     rng = np.random.default_rng(2)
+    k = len(SCALES)
+    model = unit_hmm.Model(rng.random((4, k)) * 3, rng.random((4, 2, k, k)) * 4, rng.random((4, k, 4)), np.full(4, 8.0), np.full(4, 1.0), {})
     for _ in range(60):
         n = int(rng.integers(1, 6))
-        level = rng.choice([3.0, 6.1, 9.2, 4.4, 0.5], n)
-        stated = np.where(rng.random(n) < 0.4, rng.integers(0, len(SCALES), n), -1)
-        got = viterbi(level, stated, np.zeros(n, np.int64))
+        level = rng.choice([3.0, 6.1, 9.2, 4.4, np.nan], n)
+        stated = np.where(rng.random(n) < 0.4, rng.integers(0, k, n), -1)
+        kind, same = np.zeros(n, np.int64), rng.random(n) < 0.3
+        cost = unit_hmm.emissions(model, level, np.zeros(n, np.int64), kind, np.full(n, 8.0), stated)
+        got = viterbi(model, cost, stated, np.zeros(n, np.int64), kind, same)
         assert ((got == stated) | (stated < 0)).all()
-        assert abs(path_cost(level, got) - brute_viterbi(level, stated)[0]) < 1e-9
-    assert viterbi(np.array([5.0, 2.0, 5.0, 8.0]), np.array([1, -1, -1, -1]), np.array([1, 1, 1, 2])).tolist()[1] in (2, 3) or True
-    assert len(viterbi(np.zeros(0), np.zeros(0, int), np.zeros(0, int))) == 0
+        best = min(path_cost(model, cost, stated, same, p) for p in itertools.product(*[range(k) if s < 0 else [s] for s in stated]))
+        assert abs(path_cost(model, cost, stated, same, got) - best) < 1e-9
+        # the cheapest passage ends where the path does, if nothing follows
+        assert stated[-1] >= 0 or unit_hmm.passage(model, cost, stated, 0, same, True).min(0).argmin() == got[-1]
+    assert len(viterbi(model, np.zeros((0, k)), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))) == 0
+
+
+def test_blocks_of_a_hot_series_give_its_path(spark, data_dir, monkeypatch):
+    f = spark.read.parquet(f"{data_dir}/fin_line_item.parquet").withColumn("company_code", F.lit("1")).where("account in ('營業收入', '保留盈餘', '存貨淨額')")
+    f = f.withColumns({"unit": F.when(F.col("line_id") % 5 == 0, F.col("unit")), "unit_note": F.lit(None).cast("string")})
+    kept, fit = [], unit_hmm.fit
+    monkeypatch.setattr(unit_hmm, "fit", lambda *x: kept[0] if kept else kept.append(fit(*x)) or kept[0])
+    whole, cut = (sorted((r.line_id, r.decoded) for r in decode_units(f, hot_rows=h, block=18).collect()) for h in (10**6, 20))
+    assert whole == cut and len({d for _, d in whole}) > 1
+
+
+def test_hidden_units_are_found_again(spark, data_dir):
+    f = spark.read.parquet(f"{data_dir}/fin_line_item.parquet").where("value <> 0")
+    known = decode_units(f).where("scale is not null and kind in ('money', 'shares')").select("line_id", F.col("scale").alias("true"))
+    hide = F.pmod(F.xxhash64("line_id"), F.lit(10)) == 0
+    masked = f.withColumns({c: F.when(~hide, F.col(c)) for c in ("unit", "unit_note")})
+    got = decode_units(masked).where("scale is null").join(known, "line_id").agg(F.count("*").alias("n"), F.avg((F.col("decoded") == F.col("true")).cast("int")).alias("right"), F.avg((F.col("true") == 1000).cast("int")).alias("usual")).first()
+    assert got.n > 50 and got.right > max(0.85, got.usual + 0.15)
 
 
 @pytest.mark.parametrize("hot", [10**6, 10])
