@@ -24,7 +24,7 @@ DECIMALS = 4
 #: Recorded figures on either side that make up the level of a row, and as how many the level of all series counts among them.
 AROUND, PSEUDO = 16, 8.0
 #: Rows (of whole series, picked by hash) that the model is fitted on.
-FIT_ROWS = 200_000
+FIT_ROWS = 50_000
 #: Rows of a series beyond which it is decoded in blocks, and rows of a block.
 HOT_ROWS, BLOCK = 500_000, 100_000
 _NEVER = 1e12
