@@ -23,7 +23,7 @@ def audit_sample(gold: DataFrame, seed: int = SEED, size: int = SIZE, always: st
     rest = q.where(~F.coalesce(F.col("question_type") == always, F.lit(False)))
     n = rest.count()
     places = random.Random(seed).sample(range(n), min(size, n))
-    ordered = running_sums(rest.select("question_id", F.lit(0).alias("all"), F.lit(0).alias("same"), F.lit(1).alias("one")), ["all"], ["same", "question_id"], {"place": "one"})
+    ordered = running_sums(rest.select("question_id", F.lit(0).alias("all"), F.lit(1).alias("one")), ["all"], ["question_id"], {"place": "one"})
     drawn = ordered.where((F.col("place") - 1).isin(places)).select("question_id", F.lit("sampled").alias("why"))
     return drawn.unionAll(q.where(F.col("question_type") == always).select("question_id", F.lit("always").alias("why")))
 

@@ -8,40 +8,41 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factlode.runtime import materialise, temp_name
 
-#: Rows of a group beyond which it is cut, and into how many ranges.
+#: Rows of a group beyond which it is cut, and the least number of ranges that all such groups are cut into.
 HOT_ROWS, RANGES = 1_000_000, 256
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], hot_rows: int = HOT_ROWS, ranges: int = RANGES, upto: bool = True) -> DataFrame:
     """``df`` with running sums: ``sums`` names new columns by the column that each adds up.
 
-    order: column names, ascending; the first must be numeric and not null.  Rows of equal order follow each other as they
-    come, so order should be total.  upto: a row's own value counts.
+    order: column names, ascending, nulls first.  Rows of equal order follow each other as they come, so order should be
+    total.  upto: a row's own value counts.
 
-    A group of more than ``hot_rows`` rows is cut at approximate quantiles of ``order[0]`` (rows of equal value stay together), each
+    Groups of more than ``hot_rows`` rows are cut into ranges of their whole order, so that ties of its first columns may part; each
     range is summed apart and the sums of the ranges before are added.  Nulls add nothing.  No rows: no rows.
     """
     end = Window.currentRow if upto else -1
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
-    hot = materialise(sizes.select(*group), "hot")
-    zero = {n: F.coalesce(F.sum(c).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)).alias(n) for n, c in sums.items()}
-    if hot.isEmpty():
-        return df.select("*", *zero.values())
-    own = [temp_name(df.columns, f"group_{i}") for i in range(len(group))]
+    hot = materialise(sizes.withColumnsRenamed({"rows": temp_name(group, "rows")}), "hot")
+    count = hot.columns[-1]
+    sum_over = lambda w: {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
+    whole = sum_over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
+    many = hot.agg(F.sum(count)).first()[0]
+    if not many:
+        return df.select("*", *[c.alias(n) for n, c in whole.items()])
+    taken = df.columns
+    own = [temp_name(taken, f"group_{i}") for i in range(len(group))]
     rename = lambda t: t.select(*[F.col(g).alias(o) for g, o in zip(group, own)], *[c for c in t.columns if c not in group])
     same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(o)) for g, o in zip(group, own)])
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.join(rename(hot), same, "left_semi").groupBy(*group).agg(F.percentile_approx(F.col(order[0]).cast("double"), steps, F.lit(10 * ranges)).alias("cuts"))
-    cuts = rename(materialise(cuts, "cuts"))  # approximate, so fixed once
-    taken = df.columns
-    rng, cut = temp_name(taken, "range"), temp_name(taken, "cuts")
-    place = F.coalesce(F.size(F.filter(F.col(cut), lambda c: c < F.col(order[0]).cast("double"))), F.lit(0))
-    marked = materialise(df.join(cuts.withColumnRenamed("cuts", cut), same, "left").select(*taken, place.alias(rng)), "ranged")
+    rng, at = temp_name(taken, "range"), temp_name(taken, "at_range")
     parts = [temp_name(taken, f"sum_{i}") for i in range(len(sums))]
+    cut = rename(hot.drop(count))
+    laid = df.join(cut, same, "left_semi").repartitionByRange(max(ranges, -(-4 * many // hot_rows)), *group, *order)
+    marked = materialise(laid.withColumn(rng, F.spark_partition_id()), "ranged")  # ranges come from a sample, so they are fixed once
     totals = marked.groupBy(*group, rng).agg(*[F.sum(c).alias(p) for c, p in zip(sums.values(), parts)])
     before = Window.partitionBy(*group).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    at = temp_name(taken, "at_range")
     totals = rename(totals.select(*group, F.col(rng).alias(at), *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(p) for p in parts]))
-    within = Window.partitionBy(*group, rng).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    joined = marked.join(totals, same & (F.col(rng) == F.col(at)))
-    return joined.select(*taken, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(p)).alias(n) for (n, c), p in zip(sums.items(), parts)])
+    within = sum_over(Window.partitionBy(*group, rng).orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
+    joined = marked.join(totals, same & (F.col(rng) == F.col(at))).select(*taken, *[(c + F.col(p)).alias(n) for (n, c), p in zip(within.items(), parts)])
+    usual = df.join(cut, same, "left_anti").select("*", *[c.alias(n) for n, c in whole.items()])
+    return usual.unionByName(joined)
