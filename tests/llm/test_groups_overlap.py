@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factlode.llm.groups import allocate, balance, components, grouped, grouped_splits
-from factlode.llm.overlap import chunk_overlaps, chunks, normal_question, question_overlaps, same_question, slip_keys, slips
+from factlode.llm.overlap import chunk_overlaps, chunks, normal_question, overlaps_within, question_overlaps, same_question, slip_keys, slips, thin
 
 
 def test_components_equal_union_find(spark):
@@ -67,9 +68,9 @@ def test_group_sizes(spark):
 def test_questions_are_normal():
     a = normal_question("請問民國１１０年度曜禾航運「霖謙石專案」之營業成本是多少？")
     b = normal_question("曜禾航運 “霖謙石專案”2021年度的營業成本為何（請附單位）")
-    assert a == b and a[1] == ["2021"]
-    assert normal_question("根財務報告，FY2021Q4 X公司")[1] == ["2021Q4"] and normal_question(None) == ("", [])
-    assert normal_question("民國112年第二季")[1] == ["2023Q2"]
+    assert a == b and a[1] == ("2021",)
+    assert normal_question("根財務報告，FY2021Q4 X公司")[1] == ("2021Q4",) and normal_question(None) == ("", ())
+    assert normal_question("民國112年第二季")[1] == ("2023Q2",)
 
 
 def test_slips():
@@ -86,7 +87,8 @@ def test_chunks_cover_the_text():
 GOLD = "question_id string, question_set string, question string, company struct<name:string,code:string>, period string, source_document array<string>, page_numbers array<int>"
 
 
-def test_overlaps_of_questions(spark):
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_overlaps_of_questions(spark, hot):
     doc = ["0424-FY2021-XB"]
     q = "曜禾航運在民國110年度說明「霖謙石專案」設備汰換之主要原因為何？"
     rows = [
@@ -96,7 +98,7 @@ def test_overlaps_of_questions(spark):
         ("D2", "challenger", q, ("x", "0424"), "FY2021", doc, [97]), ("D1", "dev", q, ("x", "0424"), "FY2021", doc, [97]), ("L8", None, q, ("x", "0424"), "FY2021", doc, [97]), ("L9", "locked", q, None, "FY2021", [None, *doc], [None, 97]),
     ]
     df = spark.createDataFrame(rows, GOLD)
-    got = {(r.question_id_1, r.question_id_2) for r in question_overlaps(df).collect()}
+    got = {(r.question_id_1, r.question_id_2) for r in question_overlaps(df, hot_block=hot).collect()}
     assert got == {("D1", "L1"), ("D2", "L1"), ("D1", "L9"), ("D2", "L9")}
     assert question_overlaps(df.limit(0)).count() == 0
 
@@ -125,7 +127,8 @@ def test_slip_keys_meet_whatever_slips_accepts():
     assert all(k & m for (a, k), (b, m) in itertools.product(zip(texts, keys), repeat=2) if slips(a, b))
 
 
-def test_a_slip_at_any_place_loses_no_pair(spark):
+@pytest.mark.parametrize("hot", [2000, 20])
+def test_a_slip_at_any_place_loses_no_pair(spark, hot):
     rng = random.Random(5)
     doc, rows = ["0424-FY2021-XB"], []
     for k in range(12):
@@ -136,5 +139,21 @@ def test_a_slip_at_any_place_loses_no_pair(spark):
     normal = {r[0]: normal_question(r[2]) for r in rows}
     one = lambda a, b: same_question(*normal[a[0]], a[4], a[3][1], *normal[b[0]], b[4], b[3][1])
     want = {(a[0], b[0]) for a in rows if a[1] == "dev" for b in rows if b[1] != "dev" and a[6] == b[6] and one(a, b)}
-    got = {(r.question_id_1, r.question_id_2): r.overlap for r in question_overlaps(spark.createDataFrame(rows, GOLD)).collect()}
+    got = {(r.question_id_1, r.question_id_2): r.overlap for r in question_overlaps(spark.createDataFrame(rows, GOLD), hot_block=hot).collect()}
     assert set(got) == want and min(got.values()) < 0.35
+
+
+def test_chunks_and_thin_records_meet_whatever_slips_accepts():
+    rng = random.Random(6)
+    base = ["".join(rng.choice("曜禾航運霖謙石專案設備汰換") for _ in range(n)) for n in (1, 2, 3, 6, 12, 18, 30, 60) for _ in range(6)]
+
+    def typed(t):
+        i = rng.randrange(len(t))
+        t = t[:i] + t[i + 1 :] if rng.random() < 0.6 else t
+        return "".join(c * rng.choice([1, 1, 1, 1, 2]) for c in t)
+
+    left, right = [typed(t) for t in base for _ in range(4)], [typed(t) for t in base for _ in range(4)]
+    left, right = [t for t in left if t], [t for t in right if t]
+    found = overlaps_within(left, right)
+    want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if slips(a, b)}
+    assert want <= set(found) and any(not thin(chunks(left[i])) for i, _ in want) and any(thin(chunks(left[i])) for i, _ in want)
