@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from factlode.llm.bpe import codes
 from factlode.llm.encode import slices
+from factlode.runtime import materialise
 
-#: Cells that counts of character pairs are hashed into: with one count per code point, all that is ever sent around.
-CELLS = 1 << 20
 POINTS = 0x110000
+#: Pairs rarer than this part of all characters have no mutual information worth the name; so at most 1 / SHOWN pairs are ever sent around.
+SHOWN = 1e-6
+#: Bits of a pair and of a character that are rarer than can be told.
+UNSEEN_PAIR, UNSEEN = -24.0, -30.0
 #: Bits of shrunken mutual information below which a pair is improbable, the least a pair can take from a run, and
 #: pairs per million at which its information counts half.
 PROBABLE, FLOOR, HALF = 0.6, -2.0, 300.0
@@ -35,16 +38,21 @@ TWO_BYTE = [("gbk", "utf_8"), ("cp932", "utf_8"), ("cp950", "utf_8"), ("cp949",
 BROKEN = "�"
 
 
-def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+def _no_character(cp: np.ndarray) -> np.ndarray:
+    """Code points that stand for no character of their own: the replacement character and a symbol font's private ones."""
+    return (cp == 0xFFFD) | ((cp >= 0xF020) & (cp <= 0xF07E))
 
 
-def pair_counts(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed character pairs and of characters over all texts."""
+def pair_counts(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Exact counts over all texts: pairs of neighbours that make up SHOWN of all characters or more (as first << 21 | second, in order), how
+    often each stands, how often each code point stands, and the number of characters.  What stands for no character is in no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, chars = np.zeros(CELLS, np.int64), np.zeros(POINTS, np.int64)
+        chars = np.zeros(POINTS, np.int64)
+
+        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
         for batch in batches:
             for _, _, blob, sizes in slices(batch.column(0)):
                 cp = codes(blob)
@@ -52,29 +60,68 @@ def pair_counts(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
                 inside = np.ones(max(len(cp) - 1, 0), bool)
                 ends = np.cumsum(sizes)
                 inside[(ends[(ends > 0) & (ends < len(cp))] - 1)] = False
-                pairs += np.bincount(cell(cp[:-1][inside], cp[1:][inside]), minlength=CELLS)
-        at = np.concatenate([np.flatnonzero(pairs), CELLS + np.flatnonzero(chars)])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate([pairs, chars])[at], pa.int64())], names=["cell", "n"])
-
-    t = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS + POINTS rows
-    out = np.zeros(CELLS + POINTS, np.int64)
-    out[t.column("cell").to_numpy()] = t.column("n").to_numpy()
-    return out[:CELLS], out[CELLS:]
+                none = _no_character(cp)
+                inside &= ~(none[1:] | none[:-1])
+                yield out(*np.unique(cp[:-1][inside].astype(np.int64) << 21 | cp[1:][inside], return_counts=True))
+        at = np.flatnonzero(chars)
+        yield out(at | 1 << 42, chars[at])
+
+    counts = materialise(df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    single = counts.where(F.col("key") >= 1 << 42).toArrow()  # at most POINTS rows
+    chars = np.zeros(POINTS, np.int64)
+    chars[single.column("key").to_numpy() - (1 << 42)] = single.column("n").to_numpy()
+    total = int(chars.sum())
+    pairs = counts.where((F.col("key") < 1 << 42) & (F.col("n") >= SHOWN * total)).orderBy("key").toArrow()  # at most 1 / SHOWN rows
+    return pairs.column("key").to_numpy(), pairs.column("n").to_numpy(), chars, total
+
+
+class _Places:
+    """Where whole-number keys stand in an array, by as many hashed tables as it takes to hold each once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys))
+        self.bits = max(10, int(len(keys)).bit_length() + 2)
+        while len(left):
+            table = np.full(1 << self.bits, -1, np.int32)
+            h = self._hash(keys[left], len(self.tables))
+            table[h] = left
+            self.tables.append(table)
+            left = left[table[h] != left]
+
+    def _hash(self, keys: np.ndarray, turn: int) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, the length of the array where it is none."""
+        n = len(self.keys)
+        out = np.full(len(keys), n, np.int64)
+        rest = np.arange(len(keys))
+        for turn, table in enumerate(self.tables):
+            at = table[self._hash(keys[rest], turn)]
+            same = (at >= 0) & (self.keys[np.maximum(at, 0)] == keys[rest])
+            out[rest[same]] = at[same]
+            rest = rest[~same & (at >= 0)]
+        return out
 
 
 class Model:
     """How probable neighbours are in the corpus."""
 
-    def __init__(self, pairs: np.ndarray, chars: np.ndarray):
-        total = max(int(chars.sum()), 1)
-        million = pairs / total * 1e6
-        self.share = (million / (million + HALF)).astype(np.float32)
-        self.pair_bits = np.log2(np.maximum(pairs, 0.5) / total).astype(np.float32)
-        self.bits = np.log2(np.maximum(chars, 0.05) / total).astype(np.float32)
+    def __init__(self, keys: np.ndarray, pairs: np.ndarray, chars: np.ndarray, total: int):
+        total = max(total, 1)
+        self.places = _Places(keys)
+        part = np.append(pairs / total, 0.0)  # the last stands for all rarer pairs
+        self.share = (part * 1e6 / (part * 1e6 + HALF)).astype(np.float32)
+        self.pair_bits = np.append(np.log2(pairs / total), UNSEEN_PAIR).astype(np.float32)
+        self.bits = np.maximum(np.log2(np.maximum(chars, 1e-9) / total), UNSEEN).astype(np.float32)
         self.seen = chars / total > 2e-6
 
         self._judged: dict[tuple[str, str], bool] = {}
 
+    def _pairs(self, cp: np.ndarray) -> np.ndarray:
+        return self.places.of(cp[:-1].astype(np.int64) << 21 | cp[1:])
+
     def plausible(self, was: str, good: str) -> bool:
         """Whether a short reading may stand for what was read: box drawings and what is far less likely may not."""
         if (was, good) not in self._judged:
@@ -85,7 +132,7 @@ class Model:
 
     def scores(self, cp: np.ndarray) -> np.ndarray:
         """How improbable each pair is: PROBABLE less its mutual information, shrunken where it is rare."""
-        k = cell(cp[:-1], cp[1:])
+        k = self._pairs(cp)
         mutual = (self.pair_bits[k] - self.bits[cp[:-1]] - self.bits[cp[1:]]) * self.share[k]
         return np.maximum(PROBABLE - mutual, FLOOR)
 
@@ -97,7 +144,7 @@ class Model:
         one = float(self.bits[cp].mean())
         if len(cp) == 1:
             return one
-        return 0.5 * one + 0.5 * float(np.maximum(self.pair_bits[cell(cp[:-1], cp[1:])], -26).mean())
+        return 0.5 * one + 0.5 * float(self.pair_bits[self._pairs(cp)].mean())
 
 
 def segments(s: np.ndarray, worth: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
@@ -307,18 +354,12 @@ def improbable_runs(blob: str, sizes: np.ndarray, model: Model) -> tuple[dict[in
         return runs, cp, ends
     s = model.scores(cp)
     edge = ends[(ends > 0) & (ends < len(cp))] - 1
-    # a broken or private character is improbable beside anything
-    private = (cp >= 0xF020) & (cp <= 0xF07E)
-    at = np.flatnonzero((cp == 0xFFFD) | private)
-    s[np.concatenate([at[at > 0] - 1, at[at < len(s)]])] = 3.0
     lead, cont = _masks()
     hits = (lead[cp[:-1]] & cont[cp[1:]]) != 0
-    # what may be a whole character of UTF-8 is tried even where the corpus is full of it
-    s[hits] = np.maximum(s[hits], LEAST)
     hits[edge] = False
     s[edge] = -1e6
     wide = (cp > 0x7F) & (cp != 0xFFFD)
-    odd = (cp == 0xFFFD) | private
+    odd = _no_character(cp)
     notable = odd | (wide & (model.bits[cp] < RARE))
     near = hits.copy()  # a probable pair may end a run just before or behind
     near[1:] |= hits[:-1]
@@ -354,16 +395,15 @@ def improbable_runs(blob: str, sizes: np.ndarray, model: Model) -> tuple[dict[in
 def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """Texts of which some part was read in a wrong encoding: ``id_col``, ``text_col`` as recorded, restored, wrong_chars, unrestored_chars.
 
-    Character pairs of the whole corpus are counted; pairs of little mutual information make up improbable runs (maximum-scoring segments); inside
+    Character pairs of the whole corpus are counted exactly; pairs of little mutual information make up improbable runs (maximum-scoring segments); inside
     them inverse readings are tried: UTF-8 read in a one-byte encoding (once or twice), UTF-8, Big5 and GBK read in another
     two-byte one, swapped bytes of UTF-16, a symbol font's private code points.  A run with replacement characters that no
     reading restores counts as wrong and stays as it is.  Names, symbols, letters of other scripts and lone bullets are not touched.
 
     Null, empty and blank texts and texts in order give no row; repeated rows give one each; a null id stays null.  Only a table of fixed size
-    (pair cells and code points) is sent to the workers, however many texts there are.
+    (1 / SHOWN pairs at most, and code points) is sent to the workers, however many texts there are.
     """
-    pairs, chars = pair_counts(df, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((pairs.astype(np.float32), chars.astype(np.float32)))
+    shared = df.sparkSession.sparkContext.broadcast(pair_counts(df, text_col))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
