@@ -17,6 +17,8 @@ from factlode.runtime import materialise
 POINTS = 0x110000
 #: Pairs rarer than this part of all characters have no mutual information worth the name; so at most 1 / SHOWN pairs are ever sent around.
 SHOWN = 1e-6
+#: Occurrences that may be chance: so many of a pair tell nothing.
+FEW = 5
 #: Bits of a pair and of a character that are rarer than can be told.
 UNSEEN_PAIR, UNSEEN = -24.0, -30.0
 #: Bits of shrunken mutual information below which a pair is improbable, the least a pair can take from a run, and
@@ -111,8 +113,9 @@ class Model:
     def __init__(self, keys: np.ndarray, pairs: np.ndarray, chars: np.ndarray, total: int):
         total = max(total, 1)
         self.places = _Places(keys)
-        part = np.append(pairs / total, 0.0)  # the last stands for all rarer pairs
-        self.share = (part * 1e6 / (part * 1e6 + HALF)).astype(np.float32)
+        # the last stands for all rarer pairs
+        sure = np.append(np.maximum(pairs - FEW, 0) / total, 0.0) * 1e6
+        self.share = (sure / (sure + HALF)).astype(np.float32)
         self.pair_bits = np.append(np.log2(pairs / total), UNSEEN_PAIR).astype(np.float32)
         self.bits = np.maximum(np.log2(np.maximum(chars, 1e-9) / total), UNSEEN).astype(np.float32)
         self.seen = chars / total > 2e-6
