@@ -47,7 +47,8 @@ def _no_character(cp: np.ndarray) -> np.ndarray:
 
 def pair_counts(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Exact counts over all texts: pairs of neighbours that make up SHOWN of all characters or more (as first << 21 | second, in order), how
-    often each stands, how often each code point stands, and the number of characters.  What stands for no character is in no pair."""
+    often each stands, how often each code point stands, and the number of characters.  What stands for no character is in no pair.
+    Equal texts count once: a damaged passage that is copied many times says nothing new about which characters go together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = np.zeros(POINTS, np.int64)
@@ -68,7 +69,7 @@ def pair_counts(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, n
         at = np.flatnonzero(chars)
         yield out(at | 1 << 42, chars[at])
 
-    counts = materialise(df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    counts = materialise(df.select(F.col(text_col).cast("string").alias("text")).distinct().mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
     single = counts.where(F.col("key") >= 1 << 42).toArrow()  # at most POINTS rows
     chars = np.zeros(POINTS, np.int64)
     chars[single.column("key").to_numpy() - (1 << 42)] = single.column("n").to_numpy()

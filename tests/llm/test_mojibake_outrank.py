@@ -30,7 +30,7 @@ def test_garbled_parts_are_found_and_restored(spark):
             bad[f"{name} {k}"] = (SENTENCES[3] + g + SENTENCES[3], SENTENCES[3] + s + SENTENCES[3])
     bad["short"] = ("depreciation of Â£40 per unit", "depreciation of £40 per unit")
     bad["digits"] = ("存貨淨額為千元", "存貨淨額為14,5千元")
-    rows += [(k, t) for k, (t, _) in bad.items()] + [("null", None), ("empty", ""), ("blank", " \n"), (None, "Ã©"), ("s0", rows[0][1]), ("one", "�")]
+    rows += [(k, t) for k, (t, _) in bad.items()] + [("null", None), ("empty", ""), ("blank", " \n"), (None, "piÃ±a"), ("s0", rows[0][1]), ("one", "�")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "chunk_id string, text string, restored string")
     got = {r.chunk_id: r for r in repair_encoding(df).collect()}
     assert set(got) == {*bad, None, "one"}
@@ -43,6 +43,13 @@ def test_garbled_parts_are_found_and_restored(spark):
     assert repair_encoding(df.limit(0)).count() == 0
 
 
+def test_a_damage_copied_into_a_third_of_the_rows_is_found(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i}", "".join(rng.choice(SENTENCES) for _ in range(6)) + str(i)) for i in range(300)] + [(f"c{i}", "see SÃ£o Verdal and the cafÃ© at BrÃ©vaux. " + SENTENCES[0]) for i in range(150)]
+    got = {r.chunk_id: r.restored for r in repair_encoding(spark.createDataFrame(rows, "chunk_id string, text string")).collect()}
+    assert got == {f"c{i}": "see São Verdal and the café at Brévaux. " + SENTENCES[0] for i in range(150)}
+
+
 def test_segments():
     s = np.array([-1, 1, 1, -1, 2, -5, 1, -3, 0.1])
     assert segments(s, np.ones(9, bool)) == [(1, 4), (6, 6)]
