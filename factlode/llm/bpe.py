@@ -136,6 +136,7 @@ class Bpe:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.others: dict[str, int] = {}
         self.words: list[str] = []
         self.chunks: list[np.ndarray] = []
         self.at, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
@@ -158,7 +159,7 @@ class Bpe:
                 return np.concatenate([left[: len(left) - len(a)], window, right[len(b) :]])
             k *= 2
 
-    def _learn(self, h: int, word: str) -> int:
+    def _learn(self, h: int | None, word: str) -> int:
         ids = self.piece(word)
         k, need = len(self.words), self.used + len(ids)
         if k == len(self.at):
@@ -168,7 +169,8 @@ class Bpe:
         self.flat[self.used : need] = ids
         self.at[k], self.size[k], self.used = self.used, len(ids), need
         self.words.append(word)
-        self.known[h] = k
+        if h is not None:
+            self.known[h] = k
         return k
 
     def _entries(self, blob: str, lengths: np.ndarray):
@@ -187,33 +189,57 @@ class Bpe:
         h = np.add.reduceat(mixed, s) if len(s) else np.zeros(0, np.uint64)
         distinct, rep, back = np.unique(h, return_index=True, return_inverse=True)
         rep_of = rep[back]
-        if len(s) and ((size != size[rep_of]).any() or (cp != cp[np.repeat(s[rep_of], size) + places]).any()):
-            raise _Collision
         entry = np.empty(len(distinct), np.int64)
         for i, (key, a, b) in enumerate(zip(distinct.tolist(), s[rep].tolist(), e[rep].tolist())):
             k, word = self.known.get(key), blob[a:b]
             if k is None:
                 k = self._learn(key, word)
             elif self.words[k] != word:
-                raise _Collision
+                k = self._other(word)
             entry[i] = k
+        entry = entry[back]
+        # pieces that share a hash with another one are looked up by themselves
+        near = np.minimum(np.repeat(s[rep_of], size) + places, max(len(cp) - 1, 0))
+        other = (size != size[rep_of]) | np.logical_or.reduceat(cp != cp[near], s) if len(s) else np.zeros(0, bool)
+        for i in np.flatnonzero(other).tolist():
+            entry[i] = self._other(blob[s[i] : e[i]])
         owner = np.searchsorted(offsets, s, "right") - 1
         per_text = np.bincount(owner, minlength=len(lengths))
-        return entry[back], s, per_text, offsets, cp
+        return entry, s, per_text, offsets, cp
 
-    def _plain(self, blob: str, lengths: np.ndarray):
+    def _other(self, word: str) -> int:
+        """The place of a piece whose hash another piece has."""
+        if word not in self.others:
+            self.others[word] = self._learn(None, word)
+        return self.others[word]
+
+    def _strange(self, blob: str, lengths: np.ndarray) -> np.ndarray:
+        """Texts with a character that is newer than the class table."""
+        at = np.flatnonzero(_classes()[codes(blob)] == UNKNOWN)
+        return np.unique(np.searchsorted(np.cumsum(lengths), at, "right"))
+
+    def _apart(self, blob: str, lengths: np.ndarray, odd: np.ndarray) -> tuple[str, np.ndarray, list[np.ndarray]]:
+        """The texts without the ``odd`` ones, and the ids of those by the plain tokenizer."""
         ends = np.cumsum(lengths)
-        return [np.array(self.plain.encode_ordinary(blob[a:b]), np.int32) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+        texts = [blob[a:b] for a, b in zip((ends - lengths)[odd].tolist(), ends[odd].tolist())]
+        keep, at = [], 0
+        for k in odd.tolist():
+            keep.append(blob[at : int(ends[k] - lengths[k])])
+            at = int(ends[k])
+        rest = lengths.copy()
+        rest[odd] = 0
+        return "".join([*keep, blob[at:]]), rest, [np.array(self.plain.encode_ordinary(t), np.int32) for t in texts]
 
     def encode(self, blob: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in ``blob`` one behind the other, and how many each text has."""
-        try:
-            entry, _, per_text, _, cp = self._entries(blob, lengths)
-            if (_classes()[cp] == UNKNOWN).any():
-                raise _Collision
-        except _Collision:
-            each = self._plain(blob, lengths)
-            return np.concatenate([np.zeros(0, np.int32), *each]), np.array([len(x) for x in each], np.int64)
+        odd = self._strange(blob, lengths)
+        if len(odd):
+            rest, sizes, plain = self._apart(blob, lengths, odd)
+            ids, n = self.encode(rest, sizes)
+            ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[odd], [len(p) for p in plain]), np.concatenate(plain))
+            n[odd] = [len(p) for p in plain]
+            return ids, n
+        entry, _, per_text, _, _ = self._entries(blob, lengths)
         size = self.size[entry]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -223,12 +249,13 @@ class Bpe:
 
     def count(self, blob: str, lengths: np.ndarray) -> np.ndarray:
         """How many ids each text has."""
-        try:
-            entry, _, per_text, _, cp = self._entries(blob, lengths)
-            if (_classes()[cp] == UNKNOWN).any():
-                raise _Collision
-        except _Collision:
-            return np.array([len(x) for x in self._plain(blob, lengths)], np.int64)
+        odd = self._strange(blob, lengths)
+        if len(odd):
+            rest, sizes, plain = self._apart(blob, lengths, odd)
+            n = self.count(rest, sizes)
+            n[odd] = [len(p) for p in plain]
+            return n
+        entry, _, per_text, _, _ = self._entries(blob, lengths)
         ends = np.concatenate([[0], np.cumsum(self.size[entry])])
         return np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
@@ -250,10 +277,6 @@ class Bpe:
         return leaves[0]
 
 
-class _Collision(Exception):
-    """Two pieces share a hash, or a character has no known class: the batch takes the plain path."""
-
-
 @lru_cache(4)
 def bpe(rank_file: str) -> Bpe:
     """The encoder of one worker process."""

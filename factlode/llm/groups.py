@@ -7,9 +7,10 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factlode.operators.prefix import running_sums
 from factlode.runtime import materialise
 
-#: Bins that groups are balanced into, and the most items that balancing takes on the driver (twice this at most).
+#: Bins that groups are balanced into, and the packs that light groups are dealt into; balancing takes twice as many items on the driver at most.
 BINS, PACKS = 100, 4096
 SEED = 20260731
 
@@ -36,9 +37,10 @@ def components(links: DataFrame) -> DataFrame:
         near = least_near(small_in)
         small = near.select(F.col("y").alias("u"), F.col("m").alias("v")).unionAll(near.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
         new = materialise(small, "stars")
-        a, b = (d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first() for d in (stars, new))
+        # links are distinct, so as many links of which none is new are the same links
+        same = stars.count() == new.count() and new.join(stars, ["u", "v"], "left_anti").isEmpty()
         stars = new
-        if tuple(a) == tuple(b):
+        if same:
             break
     return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
@@ -102,20 +104,27 @@ def grouped_splits(records: DataFrame, targets: DataFrame, id_col: str, keys: Co
 
     targets: split_name, share; a row without a name or a positive share takes nothing, and shares need not sum to 1.
 
-    Groups are weighed by their distinct records.  Heavy ones are items of their own, light ones (and records without keys) are
-    packed by hash into at most PACKS items, so that at most 2 x PACKS weights reach the driver; largest differencing puts
-    them into ``bins`` bins, and whole bins go to the splits.  Records without an id are left out; repeated rows count once.
+    Groups are weighed by their distinct records.  Those that weigh a pack's share or more are items of their own, the others are dealt in the
+    order of their weight, one to each of PACKS packs by turns, so that packs differ by no more than the heaviest of them; with no more light
+    groups than packs each has its own.  Records without keys, of weight 1 each, join packs by hash.  So at most 2 x PACKS weights reach the driver;
+    largest differencing puts them into ``bins`` bins, and whole bins go to the splits.  Records without an id are left out; repeated rows count
+    once.  More than PACKS targets are refused.
     A group larger than a split's share stays whole, and the shares reached differ by that much.
     """
     g = materialise(grouped(records, id_col, keys), "grouped")
     weight = g.where("group_key is not null").groupBy("group_key").agg(F.count(F.lit(1)).alias("w"))
     total = g.count()
-    pack = lambda c: F.concat(F.lit("pack:"), F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(PACKS)).cast("string"))
-    named = weight.withColumn("item", F.when(F.col("w") * PACKS >= total, F.concat(F.lit("own:"), "group_key")).otherwise(pack(F.col("group_key"))))
-    items = g.join(named.select("group_key", "item"), "group_key", "left").withColumn("item", F.coalesce("item", pack(F.col("id"))))
+    pack = lambda n: F.concat(F.lit("pack:"), F.pmod(n, F.lit(PACKS)).cast("string"))
+    heavy = F.col("w") * PACKS >= total
+    light = running_sums(weight.where(~heavy).select("group_key", (-F.col("w")).alias("order"), F.lit(1).alias("one"), F.lit(0).alias("all")), ["all"], ["order", "group_key"], {"place": "one"})
+    named = weight.where(heavy).select("group_key", F.concat(F.lit("own:"), "group_key").alias("item")).unionAll(light.select("group_key", pack(F.col("place"))))
+    items = g.join(named, "group_key", "left").withColumn("item", F.coalesce("item", pack(F.xxhash64("id", F.lit(seed)))))
     items = materialise(items, "items")
     weights = {r["item"]: r["n"] for r in items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * PACKS
-    wanted = {r["split_name"]: float(r["share"]) for r in targets.select("split_name", "share").where("split_name is not null and share > 0").limit(PACKS).collect()}
+    named_targets = targets.select("split_name", "share").where("split_name is not null and share > 0").limit(PACKS + 1).collect()
+    if len(named_targets) > PACKS:
+        raise ValueError(f"more than {PACKS} targets")
+    wanted = {r["split_name"]: float(r["share"]) for r in named_targets}
     schema = "item string, split_name string"
     chosen = allocate(balance(weights, bins), wanted) if wanted else {}
     where = items.sparkSession.createDataFrame(sorted(chosen.items()), schema)

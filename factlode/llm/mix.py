@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factlode.llm.encode import RANK_FILE, count_tokens
 from factlode.runtime import materialise
 
-#: Documents of a source are laid out by size class (eighths of a power of two) and SPREAD hashed strands, so that no
-#: task holds more than a strand of one class and the order follows size, which keeps the reached totals close.
-SPREAD = 16
+#: Documents of a source are laid out by size class (eighths of a power of two) and hashed strands: SPREAD, or as many as it takes that one holds
+#: about STRAND_ROWS documents.  So no task holds more than a strand of one class, and the order follows size, which keeps the reached totals close.
+SPREAD, STRAND_ROWS = 16, 500_000
 SEED = 20260731
 
 
@@ -59,7 +59,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     d = docs.select(F.col(id_col).alias("id"), source_label(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
     h = F.xxhash64(F.col("id"), F.lit(seed))
     sized = count_tokens(d, "text", "n_tokens", rank_file)
-    sized = materialise(sized.withColumn("class", F.floor(F.log2(F.col("n_tokens") + 1) * 8).cast("int")).withColumn("strand", F.pmod(h, F.lit(SPREAD)).cast("int")), "sized")
+    sized = materialise(sized.withColumn("class", F.floor(F.log2(F.col("n_tokens") + 1) * 8).cast("int")), "sized")
+    strands = sized.where("source is not null").groupBy("source", "class").agg(F.greatest(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) / STRAND_ROWS)).cast("int").alias("strands"))
+    sized = sized.join(strands, ["source", "class"], "left").withColumn("strand", F.pmod(h, F.coalesce("strands", F.lit(SPREAD))).cast("int")).drop("strands")
     cells = materialise(sized.groupBy("source", "class", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")), "cells")
     wanted = targets.select(source_label(F.col("source")).alias("source"), F.col("weight").cast("double").alias("weight"), F.col("max_repeats").cast("long").alias("max_repeats"))
     wanted = wanted.where("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
@@ -78,7 +80,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     used = counted.groupBy("source").agg(F.count(F.lit(1)).alias("used_docs"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("used_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     shares = rates.join(used, "source", "left").select(
-        "source", "weight", "max_repeats", F.col("n_docs").cast("long").alias("docs"), F.col("size").cast("long").alias("tokens"), "target_tokens", ((F.col("target_tokens") >= F.col("cap")) & (F.col("weight") > 0)).alias("capped"), zero("used_docs"), zero("copies"), zero("used_tokens"),
+        "source", "weight", "max_repeats", F.col("n_docs").cast("long").alias("docs"), F.col("size").cast("long").alias("tokens"), "target_tokens", ((F.col("target_tokens") >= F.col("cap")) & (F.col("weight") > 0) & (F.col("size") > 0)).alias("capped"), zero("used_docs"), zero("copies"), zero("used_tokens"),
     )
     total = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))  # a handful of rows
     return drawn, shares.withColumn("share", F.when(total > 0, F.col("used_tokens") / total).otherwise(F.lit(0.0)))

@@ -41,12 +41,18 @@ def _snap(text: str, low: int, high: int, target: int) -> tuple[int, int] | None
 
 def _hard(text: str, low: int, high: int, target: int) -> int:
     """A cut that parts no line end and no character from its marks, where that is possible."""
-    for cut in sorted(range(low, high + 1), key=lambda e: (abs(e - target), e))[:64]:
+    for cut in sorted(range(low, high + 1), key=lambda e: (abs(e - target), e)):
         if not (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0e\ufe0f" or text[cut - 1 : cut + 1] == "\r\n"):
             return cut
     return target
 
 
+def _longest_run(text: str) -> int:
+    """The most characters between the ends of two pauses."""
+    ends = sorted({0, len(text), *(m.end() for _, pause in _PAUSES for m in pause.finditer(text))})
+    return max(b - a for a, b in zip(ends, ends[1:]))
+
+
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Where pieces of ``text`` end, each with the strength of its boundary (5 paragraph, 4 line, 3 sentence, 2 clause, 1 space, 0 none).
 
@@ -56,7 +62,13 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     if n <= limit:
         return [(n, 5)]
     least = math.ceil((n - overlap) / step)
-    for count in (least, least + 1, least + 2, -least):
+    hopeless = False  # some stretch without a pause is longer than any reach
+    most = max(least, math.ceil((n - overlap) / max(1, int(step * (1 - REACH)))))  # beyond that, reaches leave nothing new to try
+    for count in (*range(least, most + 1), -least):
+        if count == least + 1 and _longest_run(text) > step:
+            hopeless = True
+        if hopeless and count > 0:
+            continue
         pieces = abs(count)
         even = (n + (pieces - 1) * overlap) / pieces - overlap
         found, last = [], overlap
@@ -99,7 +111,8 @@ def split_oversized(df: DataFrame, text_col: str = "text", limit: int = LIMIT, o
     A piece keeps every column of its row; ``text_col`` becomes the piece, and ``piece`` (from 1), ``pieces``, ``piece_start`` and ``boundary``
     (strength of the pause at its end) come behind them, replacing columns of those names.
     The least number of pieces is taken, their ends are aimed at equal lengths and each is moved to the strongest pause near
-    by.  Where some end finds no pause in reach, one or two pieces more are tried, and only then is a text cut without one.
+    by.  Where some end finds no pause in reach, more pieces are tried,
+    until the reaches of their ends cover every place, and only then is a text cut without one.
     Null, empty, blank and shorter texts give no row.  Repeated rows are split each.  Needs 0 <= overlap < limit.
     """
     if not 0 <= overlap < limit:

@@ -52,3 +52,20 @@ def test_corpus(spark):
 
 def test_piece_starts_of_nothing():
     assert piece_starts(codes(""), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_strange_characters_and_shared_hashes_touch_their_own_text_only(monkeypatch):
+    from factlode.llm import bpe as B
+    from factlode.llm.encode import RANK_FILE
+
+    own = B.Bpe(RANK_FILE)
+    texts = ["profit rose", "", "a\U0002fffe b", "毛利率 12%", "\U000e0fff\U000e0fff", "profit fell"]
+    sizes = np.array([len(t) for t in texts])
+    want = [own.plain.encode_ordinary(t) for t in texts]
+    for noise in (None, np.zeros(0x110000, np.uint64)):  # without noise, pieces of one length share a hash
+        if noise is not None:
+            monkeypatch.setattr(B, "_noise", lambda: noise)
+            own._forget()
+        ids, n = own.encode("".join(texts), sizes)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+        assert own.count("".join(texts), sizes).tolist() == [len(w) for w in want]
