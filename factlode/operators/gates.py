@@ -70,3 +70,13 @@ def falls(rows: DataFrame, series: list[str], cutoff: str, correct: str) -> Data
     w = Window.partitionBy(*series).orderBy(cutoff)
     r = rows.select(*series, F.lag(cutoff).over(w).alias("before"), F.col(cutoff).alias("cutoff"), F.lag(correct).over(w).alias("correct_before"), F.col(correct).alias("correct"))
     return r.where("correct < correct_before")
+
+
+def pairwise_tests(outcomes: DataFrame, item: str, system: str, correct: str) -> DataFrame:
+    """Every two systems over the items that both have: left, right, n, only_left, only_right, p, and whether p lies below 0.05 shared out over all pairs."""
+    o = outcomes.groupBy(item, system).agg(F.max(correct).alias("ok"))
+    a, b = o.select(item, F.col(system).alias("left"), F.col("ok").alias("ok_l")), o.select(item, F.col(system).alias("right"), F.col("ok").alias("ok_r"))
+    g = a.join(b, item).where(F.col("left") < F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ok_l") & ~F.col("ok_r")).alias("only_left"), F.count_if(~F.col("ok_l") & F.col("ok_r")).alias("only_right"))
+    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # one row per pair of systems
+    g = g.withColumn("p", F.round(mcnemar(F.col("only_right"), F.col("only_left")), 9))
+    return g.withColumn("significant", F.col("p") < 0.05 / tests)

@@ -115,12 +115,20 @@ def continuations(tables: DataFrame, top: float = 0.25, bottom: float = 0.6) ->
     return tables.join(j, ["doc_id", "page", "ord"], "left")
 
 
-def reading_order(blocks: DataFrame, band: float = 3.0) -> DataFrame:
-    """Blocks numbered by bands of ``band`` points from the top, then from the left."""
-    w = Window.partitionBy("doc_id", "page").orderBy(F.bround(F.col("bbox.y0") / band), "bbox.x0")
+def reading_order(blocks: DataFrame, band: float = 3.0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks numbered by bands of ``band`` points from the top, then from the left, then by ``ties``."""
+    w = Window.partitionBy("doc_id", "page").orderBy(F.bround(F.col("bbox.y0") / band), "bbox.x0", *ties)
     return blocks.withColumn("reading_order", F.row_number().over(w) - 1)
 
 
 def page_union(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """The box around all boxes of each key."""
     return boxes.groupBy(*keys).agg(F.struct(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1")).alias("bbox"))
+
+
+def overlapping(boxes: DataFrame, key: str, share: float = SHARE) -> DataFrame:
+    """Pairs of boxes (``key``, doc_id, page, bbox) of one page of which the smaller lies in the other by ``share`` or more: key_1 < key_2, overlap, iou."""
+    side = lambda n: boxes.select("doc_id", "page", F.col(key).alias(f"{key}_{n}"), F.col("bbox").alias(f"b{n}"))
+    j = side(1).join(side(2), ["doc_id", "page"]).where(F.col(f"{key}_1") < F.col(f"{key}_2"))
+    part = overlap_share("b1", "b2")
+    return j.where(part >= share).select("doc_id", "page", f"{key}_1", f"{key}_2", F.round(part, 6).alias("overlap"), F.round(iou("b1", "b2"), 6).alias("iou"))

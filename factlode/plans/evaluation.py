@@ -118,10 +118,12 @@ def row_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def worklist(spark: SparkSession, d: str) -> DataFrame:
-    """For each filing and topic the two pages richest in figures that name it, with an excerpt and the statement headings.  The SQL gives 資產總額 alone."""
+    """For each filing and topic the two pages richest in figures that name it, with an excerpt and the statement headings."""
     from factlode.plans.pages import page_texts
 
-    return pages.worklist(page_texts(spark, d))
+    w = pages.worklist(page_texts(spark, d))
+    at = F.transform("headings", lambda h: F.concat(h.heading, F.lit(":"), F.array_join(h.pages, ",")))
+    return w.withColumn("page_headings", F.array_join("page_headings", "|")).withColumn("headings", F.array_join(at, ";"))
 
 
 def error_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -197,5 +199,10 @@ case when len(list_filter(coalesce(page_numbers, []), lambda p: p < 1)) > 0 then
     "error_buckets": f"with b as (select unnest(list_filter([case when period is null then 'no_period' end, case when company.code is null then 'no_company' end, case when coalesce(len(source_document), 0) = 0 then 'no_source' end, case when answer is null then 'no_answer' end, case when not audited then 'not_audited' end], lambda x: x is not null)) bucket from {S.GOLD}) select bucket, count(*) n from b group by 1",
     "claim_support": f"with t as {_TARGETS}, c as (select doc_id doc, unnest(pages) page, text from {S.CHUNKS}), j as (select t.query, c.text, g.answer from t join c using (doc, page) join {S.GOLD} g on g.question_id = t.query where c.text is not null and g.answer is not null) select query, count(*) chunks, count_if(contains(text, answer)) verbatim, max(length({S.no_space('text')})) longest from j group by query",
     "variant_similarity": f"with g as (select distinct question_id, answer, v from (select question_id, any_value(answer) answer, unnest(any_value(acceptable_variants)) v from gold group by 1) where answer is not null), s as (select *, {S.gram_set('answer')} a, {S.gram_set('v')} b from g) select question_id, v variant, round(case when len(a) = 0 and len(b) = 0 then 1.0 else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end, 6) similarity, len(list_distinct(regexp_extract_all(answer, '([0-9][0-9,.]*[0-9][0-9,.%]*[0-9%]|[{S.CJK}]{{2,}})'))) atoms from s",
-    "worklist": "with p as (select doc_id, pages[1] page, string_agg(coalesce(text, ''), chr(10) order by chunk_index, chunk_id) text from (select chunk_id, any_value(doc_id) doc_id, any_value(chunk_index) chunk_index, any_value(pages) pages, any_value(text) text from chunk where chunk_id is not null group by chunk_id) where len(pages) > 0 group by all), w as (select doc_id, page, len(regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})+')) figures, substring(text, greatest(position('資產總額' in text) - 40, 1), 120) excerpt from p where contains(text, '資產總額')), r as (select *, cast(row_number() over (partition by doc_id order by figures desc, page) as integer) rank from w) select * from r where rank <= 2",
+    "worklist": f"""with p as (select doc_id, pages[1] page, string_agg(coalesce(text, ''), chr(10) order by chunk_index, chunk_id) text from (select chunk_id, any_value(doc_id) doc_id, any_value(chunk_index) chunk_index, any_value(pages) pages, any_value(text) text from chunk where chunk_id is not null group by chunk_id) where len(pages) > 0 group by all),
+f as (select doc_id, page, {S.no_white('text')} text from p), h as (select *, list_filter([{', '.join(f"case when contains(text, '{x}') then '{x}' end" for x in pages.HEADINGS)}], lambda x: x is not null) ph from f),
+t as (select *, len(regexp_extract_all(text, '\\p{{Nd}}{{1,3}}(?:,\\p{{Nd}}{{3}})+')) figures, unnest([{', '.join("{'topic': '" + k + "', 'term': coalesce(" + ', '.join(f"case when contains(text, '{x}') then '{x}' end" for x in v) + ")}" for k, v in pages.PROBE_TOPICS.items())}]) x from h),
+r as (select doc_id, x.topic topic, x.term term, page, figures, substring(text, greatest(position(x.term in text) - 40, 1), 120) excerpt, array_to_string(ph, '|') page_headings, cast(row_number() over (partition by doc_id, x.topic order by figures desc, page) as integer) rank from t where x.term is not null),
+hp as (select doc_id, heading, list_sort(list_distinct(list(page)))[1:4] pages from (select doc_id, page, unnest(ph) heading from h) group by all), ha as (select doc_id, string_agg(heading || ':' || array_to_string(pages, ','), ';' order by heading) headings from hp group by 1)
+select doc_id, topic, term, page, figures, excerpt, page_headings, coalesce(headings, '') headings, rank from r left join ha using (doc_id) where rank <= 2""",
 }

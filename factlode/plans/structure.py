@@ -43,7 +43,7 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """A prompt for every question from its five best reranked chunks; nothing is searched here.  The SQL gives those of the query set of searches."""
+    """A prompt for every question from its five best reranked chunks; nothing is searched here."""
     h = _hits(spark, d, "rerank").where("rank <= 5").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").withColumnRenamed("doc", "doc_id")
     return A.build_prompts(gold(spark, d).select(F.col("question_id").alias("query"), "question"), h)
 
@@ -70,7 +70,7 @@ d as (select doc_id, page, case when u <> '' then {{'unit': {S.canonical_unit('u
 h as (select doc_id, page, last_value(s ignore nulls) over (partition by doc_id order by page rows between unbounded preceding and current row) h from d) select doc_id, page, h.unit unit, case when h."on" = page then h.exception end "exception", h."on" declared_on, case when h."on" <> page then '承第' || h."on" || '頁之單位' end note from h""",
     "prompts": f"""with r as (select question_id query, chunk_id, min(rank) rank, any_value(doc_id) doc_id, any_value(pages) pages from hit where retriever = 'rerank' group by all having min(rank) <= 5), c as (select r.*, coalesce(c.text, '') text, row_number() over (partition by query order by rank) k from r join {S.CHUNKS} c using (chunk_id)),
 p as (select query, string_agg('[' || k || '] ' || doc_id || ' p' || array_to_string(pages, ',') || chr(10) || text, chr(10) || chr(10) order by rank) passages from c group by query)
-select g.question_id query, coalesce(passages, '') || chr(10) || chr(10) || '問題：' || question || chr(10) || '請依下列格式回答：' || chr(10) || '答案：' || chr(10) || '單位：' || chr(10) || '期間：' || chr(10) || '依據：' prompt from {S.GOLD} g left join p on p.query = g.question_id where try_cast(regexp_extract(g.question_id, '([0-9]+)$', 1) as bigint) % 50 = 0""",
+select g.question_id query, coalesce(passages, '') || chr(10) || chr(10) || '問題：' || question || chr(10) || '請依下列格式回答：' || chr(10) || '答案：' || chr(10) || '單位：' || chr(10) || '期間：' || chr(10) || '依據：' prompt from {S.GOLD} g left join p on p.query = g.question_id""",
     "note_units": f"""with n as (select distinct unit_note, regexp_extract(unit_note, {_D}, 0) w, regexp_extract(unit_note, {_D}, 1) c, regexp_extract(unit_note, {_D}, 2) u from fin_line_item where unit_note is not null), p as (select *, position(w in unit_note) a from n), t as (select *, substring(unit_note, a + length(w), 60) tail from p)
 select unit_note, case when u <> '' then {S.canonical_unit('u')} end unit, case when u <> '' and c <> '' then c end currency, case when u <> '' and regexp_extract(tail, {S.q(T.EXCEPTS)}, 2) <> '' then regexp_extract(tail, {S.q(T.EXCEPTS)}, 1) || '為' || {S.canonical_unit(f"regexp_extract(tail, {S.q(T.EXCEPTS)}, 2)")} end "exception", u <> '' and regexp_matches(substring(unit_note, greatest(a - 40, 1), least(a - 1, 40) + length(w)), '{T.QUALIFIES}') qualified from t""",
     "question_years": f"select question_id, case when regexp_extract(question, '(?i)FY([0-9]{{4}})', 1) <> '' then 'FY' || regexp_extract(question, '(?i)FY([0-9]{{4}})', 1) when regexp_extract(' ' || question, '[^0-9]([0-9]{{4}})\\s*年', 1) <> '' then 'FY' || regexp_extract(' ' || question, '[^0-9]([0-9]{{4}})\\s*年', 1) when regexp_extract(' ' || question, '[^0-9]([0-9]{{2,3}})\\s*年', 1) <> '' then 'FY' || (cast(regexp_extract(' ' || question, '[^0-9]([0-9]{{2,3}})\\s*年', 1) as integer) + 1911) end period from {S.GOLD}",
