@@ -15,6 +15,9 @@ ACCOUNTS = {
     "資產總計": ["資產總計", "資產總額", "總資產"], "負債總計": ["負債總計", "負債總額", "總負債"], "權益總計": ["權益總計", "權益總額", "股東權益總計", "淨值"], "保留盈餘": ["保留盈餘"], "營業收入": ["營業收入", "營收"],
     "營業成本": ["營業成本"], "本期淨利": ["本期淨利", "稅後淨利", "稅後純益"], "非流動資產": ["非流動資產"], "非流動負債": ["非流動負債"], "流動資產": ["流動資產"], "流動負債": ["流動負債"],
 }
+#: A gloss of units in brackets, and the wordings that tell what is computed: a share, several figures, a change, a change in percent.
+GLOSS = "[（(]\\s*每[^）)]{1,30}[）)]"
+SHARE, SEVERAL, CHANGE, PERCENT = "佔|占|比率|比重|占比", "分別|(?:是多少.*){2,}", "成長|增減|變動|年增|較.*(?:增加|減少)", "比例|比率|率|幅度|百分比|成長|年增"
 #: The route of each question type.
 ROUTE_OF = {"narrative_fact": "narrative", "table_cell": "chart", "numeric_calculation": "numeric", "cross_period_comparison": "numeric", "chart_value_trend": "chart", "cross_page": "narrative", "cross_document": "cross_modal", "unanswerable": "unanswerable"}
 
@@ -44,7 +47,7 @@ def effective_route(question_type: Column) -> Column:
 
 def accounts(c: Column) -> Column:
     """Canonical accounts in the order they are named.  A name inside a longer one, or only in a bracketed per-unit gloss, is not named."""
-    subject = F.regexp_replace(c, r"[（(]\s*每[^）)]{1,30}[）)]", "")
+    subject = F.regexp_replace(c, GLOSS, "")
     spelt = sorted(((s, a) for a, ss in ACCOUNTS.items() for s in ss), key=lambda x: (-len(x[0]), x[0]))
     found = F.regexp_extract_all(subject, F.lit("(" + "|".join(s for s, _ in spelt) + ")"), F.lit(1))
     of = F.create_map(*[F.lit(x) for s, a in spelt for x in (s, a)])
@@ -55,6 +58,6 @@ def numeric_kind(c: Column) -> Column:
     """ratio, growth, delta or lookup; null where no account is named or several figures are asked for."""
     n = F.size(accounts(c))
     return (
-        F.when(n == 0, None).when(c.rlike("佔|占|比率|比重|占比") & (n >= 2), "ratio").when(c.rlike("分別|(?:是多少.*){2,}"), None)
-        .when(c.rlike("成長|增減|變動|年增|較.*(?:增加|減少)"), F.when(c.rlike("比例|比率|率|幅度|百分比|成長|年增"), "growth").otherwise("delta")).otherwise("lookup")
+        F.when(n == 0, None).when(c.rlike(SHARE) & (n >= 2), "ratio").when(c.rlike(SEVERAL), None)
+        .when(c.rlike(CHANGE), F.when(c.rlike(PERCENT), "growth").otherwise("delta")).otherwise("lookup")
     )

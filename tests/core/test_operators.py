@@ -182,13 +182,20 @@ def test_chunks(spark):
     assert [(r.section_path, r.pages, r.kinds) for r in out] == [(["甲"], [1], ["paragraph"]), (["甲"], [1], ["paragraph"]), (["甲"], [2], ["table"]), (["甲"], [2, 3], ["paragraph"])]
 
 
-def test_row_reader():
+def test_row_reader(spark):
     page = "單位：新台幣仟元\n113年12月31日　112年12月31日\n現金及約當現金 1,234 2,345\n負債 \n(1,000)\n2,000\n其他 5,000 6,000 7,000 8,000\n6\n112年度\n收入 9.5"
-    t = T.read_rows(page)
-    assert [x["width"] for x in t] == [2, 1] and t[0]["rows"][0]["figures"] == ["1,234", "2,345"] and t[0]["rows"][1]["figures"] == ["(1,000)", "2,000"]
-    assert [(r["label"], r["labelled"]) for r in t[0]["rows"][2:]] == [("其他", True), ("", False)] and T.read_rows(None) == []
-    assert T.resolve_cell(t, "現金及約當現金", "112年12月31日") == {"figure": "2,345", "route": "row"}
-    assert T.resolve_cell(t, "不存在的科目", "112年度")["route"] == "unresolved"
+    parts = "112年度 111年度\n9,999 8,888\n流動資產\n存貨 1,000 2,000\n3,000 4,000 5,000 6,000\n收入 7,000 8,000"
+    pages_ = spark.createDataFrame([("d", 1, page, 0), ("d", 2, None, 0), ("d", 3, "", 0), ("e", 1, parts, 0), ("e", 2, "沒有表頭 1,000", 0)], "doc_id string, page int, text string, row int")
+    t = T.table_rows(pages_).cache()
+    got = {(r.doc_id, r.page, r.table, r.row): r for r in t.collect()}
+    assert {k: r.width for k, r in got.items() if k[0] == "d"} == {("d", 1, 0, i): 2 for i in range(4)} | {("d", 1, 1, 0): 1} and got["d", 1, 0, 0].figures == ["1,234", "2,345"] and got["d", 1, 0, 1].figures == ["(1,000)", "2,000"]
+    assert [(got["d", 1, 0, i].label, got["d", 1, 0, i].labelled) for i in (2, 3)] == [("其他", True), ("", False)]
+    # figures before any name stand in a row of their own
+    assert [(got["e", 1, 0, i].label, got["e", 1, 0, i].figures) for i in range(5)] == [("", ["9,999", "8,888"]), ("流動資產", []), ("存貨", ["1,000", "2,000"]), ("", ["3,000", "4,000"]), ("", ["5,000", "6,000"])]
+    ask = [("a", "d", 1, "現金及約當現金", "112年12月31日"), ("b", "d", 1, "不存在的科目", "112年度"), ("c", "e", 1, "流動資產(淨額)", "111年度"), ("x", "e", 1, None, None), ("y", "none", 1, "存貨", "112年度")]
+    cells = {r.key: (r.figure, r.route) for r in T.resolve_cells(t, spark.createDataFrame(ask, "key string, doc_id string, page int, account string, period string")).collect()}
+    assert cells == {"a": ("2,345", "row"), "b": (None, "unresolved"), "c": ("6,000", "breakdown_total"), "x": (None, "unresolved"), "y": (None, "unresolved")}
+    assert T.page_rows(pages_.limit(0)).count() == 0
 
 
 def test_declared_units(spark):

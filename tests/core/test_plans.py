@@ -26,5 +26,5 @@ def test_worklist_of_every_topic(spark, tmp_path):
         ("a", "revenue", 1): (3, "營業收入", 4), ("a", "revenue", 2): (2, "營業收入", 3), ("a", "gross_profit", 1): (2, "營業毛利", 3), ("a", "eps", 1): (1, "每股盈餘", 1),
         ("a", "total_assets", 1): (3, "資產總計", 4), ("a", "total_assets", 2): (4, "資產總額", 1), ("b", "net_income", 1): (2, "淨利（淨損）", 1), ("b", "net_income", 2): (1, "本期淨利", 0), ("b", "operating_income", 1): (2, "營業利益", 1),
     }
-    assert {(h.heading, *h.pages) for r in rows if r.doc_id == "a" for h in r.headings} == {("綜合損益表", 1), ("資產負債表", 4)}
-    assert next(r for r in rows if r.topic == "eps").excerpt == "綜合損益表營業收入1,000每股盈餘2" and next(r for r in rows if r.topic == "eps").page_headings == ["綜合損益表"]
+    assert {r.headings for r in rows if r.doc_id == "a"} == {"綜合損益表:1;資產負債表:4"}
+    assert next(r for r in rows if r.topic == "eps").excerpt == "綜合損益表營業收入1,000每股盈餘2" and next(r for r in rows if r.topic == "eps").page_headings == "綜合損益表"
