@@ -107,6 +107,20 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return short.unionAll(long).select(F.col("key").cast(kind).alias(id_col), F.col("ids").alias(out_col))
 
 
+def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "text", rank_file: str = RANK_FILE) -> DataFrame:
+    """``id_col`` and the text that ``ids_col`` stands for; null and empty lists: an empty text.  An id that the tokenizer lacks is an error."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = bpe(rank_file).plain
+        for batch in batches:
+            texts = [plain.decode(ids) if ids else "" for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    got = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    return got.select(F.col("id").alias(id_col), F.col("text").alias(out_col))
+
+
 def count_tokens(df: DataFrame, text_col: str, out_col: str, rank_file: str = RANK_FILE) -> DataFrame:
     """``df`` without ``text_col`` but with the number of its tokens as ``out_col`` (null and empty: 0)."""
     kept = [c for c in df.columns if c != text_col]

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from factlode.llm.bpe import bpe, codes, piece_starts
-from factlode.llm.encode import RANK_FILE, count_tokens, encode_corpus
+from factlode.llm.encode import RANK_FILE, count_tokens, decode_corpus, encode_corpus
 
 ALPHABET = "  \n\n\t'''sstremdlvl,.。中文研發a1２ 3é　\xa0\U0001f600%"
 
@@ -69,3 +69,10 @@ def test_strange_characters_and_shared_hashes_touch_their_own_text_only(monkeypa
         ids, n = own.encode("".join(texts), sizes)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
         assert own.count("".join(texts), sizes).tolist() == [len(w) for w in want]
+
+
+def test_ids_decode_to_their_text(spark):
+    texts = ["", None, "毛利率 12%", "\x00  a<|endoftext|>b", "𠮷é" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decode_corpus(encode_corpus(df)).collect()}
+    assert got == {**{i: t or "" for i, t in enumerate(texts)}, None: "x"}
