@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from factlode.llm.bpe import codes
 from factlode.llm.encode import slices
 from factlode.llm.winnow import GRAM, SPAN, choose, gram_hashes, periodic_runs
-from factlode.runtime import materialise
+from factlode.runtime import materialise, shared_dir, width
 
-#: Runs of one level that are merged into one of the next.
-FANOUT = 4
-BATCHES = 4
+#: Runs of one level that are merged into one of the next, and batches that a table is taken in when it comes at once.
+FANOUT, BATCHES = 4, 2
+_MANIFEST = "level int, run string, buckets int, gram int, span int, id_type string"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
@@ -25,74 +26,111 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
     return t.select("id", F.unhex(F.md5("text")).alias("cid"), "text")
 
 
-def fingerprints(texts: DataFrame, gram: int, span: int, extra: list[str]) -> DataFrame:
-    """print, cid, place and the least id of each chosen window of ``texts`` (cid, text, id and the columns ``extra``)."""
-    kept = ["id", "cid", *extra]
-    schema = ", ".join([*[f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept], "place int", "print bigint"])
+def fingerprints(texts: DataFrame, gram: int, span: int, parts: int) -> DataFrame:
+    """print, cid, place and the least id of each chosen window of ``texts`` (id, cid, text), laid out by print in ``parts`` partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, blob, sizes in slices(batch.column(len(kept))):
+            for a, _, blob, sizes in slices(batch.column(2)):
                 owner, place, h = choose(codes(blob), sizes, gram, span)
                 took = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(took) for i in range(len(kept))], pa.array(place, pa.int32()), pa.array(h.view(np.int64))], names=[*kept, "place", "print"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(place, pa.int32()), pa.array(h.view(np.int64))], names=["id", "cid", "place", "print"])
 
-    return texts.select(*kept, "text").mapInArrow(run, schema).groupBy("print", "cid", "place", *extra).agg(F.min("id").alias("id"))
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.select("id", "cid", "text").mapInArrow(run, f"id {kind}, cid binary, place int, print bigint")
+    # laid out by print at once, so that neither the grouping nor the run needs another exchange
+    return found.repartition(parts, "print").groupBy("print", "cid", "place").agg(F.min("id").alias("id"))
 
 
 class FingerprintIndex:
-    """Window hashes of all texts seen so far, in sorted runs that are never changed.
+    """Window hashes of all texts seen so far, in sorted runs that are never changed, under a folder that outlives the session.
 
-    ``add`` writes a batch as a run of its own and merge-joins it with the runs that stand; when FANOUT runs of a level
-    have gathered they are merged into one of the next, so a batch meets a number of runs that grows with the logarithm of the history.
-    ``links`` verifies, in the texts themselves, what the joins found.
+    A run lies in buckets by print, each sorted, so joins of runs need no exchange.  ``add`` writes a batch as a run of its own and merge-joins it
+    with the runs that stand.  Before a batch comes, FANOUT runs of a level are merged into one of the next, so it meets a number of runs that
+    grows with the logarithm of the history.  ``links`` verifies, in the texts themselves, what the joins of this session found.
+
+    path: a folder of the index; one that holds an index is opened (its gram, span and buckets hold, whatever is asked for).
     """
 
-    def __init__(self, spark: SparkSession, gram: int = GRAM, span: int = SPAN, fanout: int = FANOUT):
-        if not 0 < gram < span:
-            raise ValueError("a gram must be shorter than the span")
-        self.spark, self.gram, self.span, self.fanout = spark, gram, span, fanout
-        self.runs: list[tuple[int, DataFrame]] = []
+    def __init__(self, spark: SparkSession, gram: int = GRAM, span: int = SPAN, fanout: int = FANOUT, path: str | None = None, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.path = path or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        self.runs: list[tuple[int, str]] = []
         self.hits: list[DataFrame] = []
+        self.gram, self.span, self.buckets, self.id_type = gram, span, buckets or width(spark), ""
+        if path and self._stored():
+            newest = self._manifests().agg(F.max("version")).first()[0]
+            for r in spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/version={newest}").collect():  # a row per run: their number grows with the logarithm of the batches
+                self.gram, self.span, self.buckets, self.id_type = r["gram"], r["span"], r["buckets"], r["id_type"]
+                self.runs.append((r["level"], r["run"]))
+        if not 0 < self.gram < self.span:
+            raise ValueError("a gram must be shorter than the span")
+
+    def _manifests(self) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST + ", version int").json(f"{self.path}/manifest")
+
+    def _stored(self) -> bool:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there)
+
+    def _save(self) -> None:
+        """A manifest of the runs that stand, beside those before: whoever reads the newest sees whole runs only."""
+        version = (self._manifests().agg(F.max("version")).first()[0] or 0) + 1 if self._stored() else 1
+        rows = [(level, run, self.buckets, self.gram, self.span, self.id_type) for level, run in self.runs]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/version={version}")
 
-    def _run(self, prints: DataFrame) -> DataFrame:
-        return materialise(prints.repartitionByRange("print").sortWithinPartitions("print"), "run")
+    def _read(self, run: str) -> DataFrame:
+        """A stored run, known to lie in sorted buckets."""
+        if not self.spark.catalog.tableExists(run):
+            cols = f"print BIGINT, cid BINARY, place INT, id {self.id_type}"
+            self.spark.sql(f"CREATE TABLE {run} ({cols}) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(run)
+
+    def _write(self, prints: DataFrame) -> str:
+        run = f"run_{uuid.uuid4().hex}"
+        prints.select("print", "cid", "place", "id").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{run}").saveAsTable(run)
+        return run
 
     def add(self, texts: DataFrame) -> None:
         """Takes a batch of texts (id, cid, text)."""
-        self._meet(self._run(fingerprints(texts, self.gram, self.span, [])))
+        self._compact()
+        self.id_type = texts.schema["id"].dataType.simpleString()
+        run = self._write(fingerprints(texts, self.gram, self.span, self.buckets))
+        self._meet(self._read(run))
+        self.runs.append((0, run))
+        self._save()
 
     def add_in_batches(self, texts: DataFrame, batches: int = BATCHES) -> None:
-        """Takes texts as so many batches, fingerprinted in one pass."""
-        marked = texts.withColumn("batch", F.pmod(F.xxhash64("cid"), F.lit(batches)).cast("int"))
-        prints = materialise(fingerprints(marked, self.gram, self.span, ["batch"]).repartitionByRange("print").sortWithinPartitions("batch", "print"), "runs", "batch")
+        """Takes texts as so many batches; equal texts are of one batch."""
         for b in range(batches):
-            self._meet(prints.where(F.col("batch") == b).drop("batch"))
+            self.add(texts.where(F.pmod(F.xxhash64("cid"), F.lit(batches)) == b) if batches > 1 else texts)
 
-    def _meet(self, new: DataFrame) -> None:
-        cols = ["print", "cid", "place", "id"]
-        new = new.select(*cols)
-        own = new.groupBy("print").agg((F.min("cid") != F.max("cid")).alias("several"))
+    def met(self, new: DataFrame) -> DataFrame | None:
+        """Windows of the history whose hash a batch has too: every run by itself, bucket by bucket."""
+        own = new.select("print").distinct()
         old = None
         for _, run in self.runs:
-            met = run.join(own.select("print"), "print", "left_semi")
-            old = met if old is None else old.unionAll(met)
-        found = own.where("several").select("print")
+            got = self._read(run).hint("merge").join(own, "print", "left_semi")
+            old = got if old is None else old.unionAll(got)
+        return old
+
+    def _meet(self, new: DataFrame) -> None:
+        found = new.groupBy("print").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a != b").select("print")
+        old = self.met(new)
         if old is not None:
             old = materialise(old, "met")
             self.hits.append(old)
             found = found.unionAll(old.select("print")).distinct()
         self.hits.append(materialise(new.join(found, "print", "left_semi"), "met"))
-        self.runs.append((0, new))
-        self._compact()
 
     def _compact(self) -> None:
         level = 0
         while len(same := [r for n, r in self.runs if n == level]) >= self.fanout:
-            merged = same[0]
+            merged = self._read(same[0])
             for r in same[1:]:
-                merged = merged.unionAll(r)
-            self.runs = [(n, r) for n, r in self.runs if n != level] + [(level + 1, self._run(merged))]
+                merged = merged.unionAll(self._read(r))
+            merged = merged.repartition(self.buckets, "print").groupBy("print", "cid", "place").agg(F.min("id").alias("id"))
+            self.runs = [(n, r) for n, r in self.runs if n != level] + [(level + 1, self._write(merged))]
             level += 1
 
     def _places(self) -> DataFrame:

@@ -8,8 +8,12 @@ import numpy as np
 
 #: Characters of a hashed window, and the span that two texts must share to be found.
 GRAM, SPAN = 64, 200
-#: A gram that repeats itself within this distance lies in a periodic run.
-PERIOD = GRAM // 2
+
+
+def longest_period(gram: int) -> int:
+    """A gram that repeats itself within this distance lies in a periodic run."""
+    return gram // 2
+
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -57,7 +61,7 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
 def _periodic(cp: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Splits chosen places into those outside periodic runs and, for each such run, the first and last grams of one period."""
     period = np.zeros(len(at), np.int64)
-    for p in range(1, PERIOD + 1):
+    for p in range(1, longest_period(gram) + 1):
         ahead = (at + p + gram <= end) & (h[np.minimum(at + p, len(h) - 1)] == h[at])
         behind = (at - p >= first) & (h[np.maximum(at - p, 0)] == h[at])
         period[(period == 0) & (ahead | behind)] = p
@@ -95,7 +99,7 @@ def periodic_runs(cp: np.ndarray, places: list[int], gram: int) -> list[tuple[in
     for x in places:
         if out and out[-1][0] <= x <= out[-1][1]:
             continue
-        for p in range(1, PERIOD + 1):
+        for p in range(1, longest_period(gram) + 1):
             if p < gram and (cp[x + p : x + gram] == cp[x : x + gram - p]).all():
                 off = np.flatnonzero(cp[p:] != cp[:-p])  # i: character i + p breaks the period
                 k = int(np.searchsorted(off, x))

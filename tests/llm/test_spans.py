@@ -63,6 +63,30 @@ def test_one_batch_at_a_time_equals_all_at_once(spark):
     assert pair(whole) == pair(steps) != set()
 
 
+def test_a_stored_index_takes_another_batch_without_moving_its_history(spark, tmp_path):
+    from factlode.llm.spans import _texts, fingerprints
+
+    rows = [(i, t) for i, t in corpus() if i is not None and t and len(t) >= 40]
+    texts = _texts(spark.createDataFrame(rows, "id long, t string"), "id", "t", 40).cache()
+    first = FingerprintIndex(spark, 16, 40, path=f"file://{tmp_path}/index", buckets=3)
+    first.add(texts.where("id % 2 = 0"))
+    first.add(texts.where("id % 2 = 1 and id < 9"))
+    for t in [r.name for r in spark.catalog.listTables() if r.name.startswith("run_")]:
+        spark.sql(f"drop table {t}")  # as in a new session; the files stay
+    again = FingerprintIndex(spark, path=f"file://{tmp_path}/index")
+    assert (again.gram, again.span, again.buckets, len(again.runs)) == (16, 40, 3, 2)
+    new = again._read(again._write(fingerprints(texts.where("id % 2 = 1 and id >= 9"), 16, 40, 3)))
+    plan = again.met(new)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    again.add(texts.where("id % 2 = 1 and id >= 9"))
+    whole = FingerprintIndex(spark, 16, 40)
+    whole.add(texts)
+    late = {bytes(r.cid) for r in texts.where("id % 2 = 1 and id >= 9").collect()}
+    pairs = lambda x: {(bytes(r.cid_1), bytes(r.cid_2)) for r in x.links(texts).collect()}
+    want = {p for p in pairs(whole) if late & set(p)}
+    assert want and pairs(again) == want  # what the new batch shares with the history and within itself
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert span_pairs(df).count() == 0 and span_shares(df).count() == 0
