@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from factlode.operators.lexical import top
 
-#: Query vectors that one pass holds: a bound on what is broadcast.
-QUERY_BLOCK = 20_000
+#: Query vectors that go out to every task at most, and, where there are more, queries and rows of one cell of their grid.
+QUERY_BLOCK, ROW_BLOCK = 20_000, 200_000
 
 
-def dense_search(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, top_k: int = 20) -> DataFrame:
+def dense_search(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, top_k: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``top_k`` rows of each query by cosine, all rows scored: query, doc, score (six places), rank; ties by doc.
 
     Vectors that are null, of another length than most, zero or not finite are no neighbours and ask nothing.
-    Queries go out in blocks of QUERY_BLOCK; each task multiplies its rows with a block and keeps its own best
-    ``top_k`` (with all ties at the end), so that the shuffle carries top_k rows per task and query.
+    Up to ``query_block`` queries go out to all tasks; more are laid out with the rows in a grid of blocks, of which each
+    cell is one task.  A task multiplies its rows with its queries and keeps its own best ``top_k`` (with all ties at the end), so that
+    no more than that goes on per task and query.
     """
     if top_k <= 0:
         raise ValueError("top_k must be positive")
@@ -29,31 +30,19 @@ def dense_search(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     kind = r.schema["doc"].dataType.simpleString()
     if dim is None:
         return rows.sparkSession.createDataFrame([], f"query {kind}, doc {kind}, score double, rank int")
-    asked = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("v")).where((F.size("v") == dim["d"]) & F.col("query").isNotNull()).orderBy("query")
-    found = None
-    for block in _blocks(asked):
-        ids, q = _unit(block)
-        part = r.where((F.size("v") == dim["d"]) & F.col("doc").isNotNull()).mapInArrow(_nearest(ids, q, top_k), f"query {kind}, doc {kind}, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], f"query {kind}, doc {kind}, score double, rank int")
-    return top(found, top_k)
-
-
-def _blocks(asked: DataFrame) -> Iterator[pa.Table]:
-    t = asked.limit(QUERY_BLOCK + 1).toArrow()
-    if t.num_rows <= QUERY_BLOCK:
-        if t.num_rows:
-            yield t
-        return
-    held: list = []
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            yield pa.table({"query": [x[0] for x in held], "v": [x[1] for x in held]})
-            held = []
-    if held:
-        yield pa.table({"query": [x[0] for x in held], "v": [x[1] for x in held]})
+    asked = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("v")).where((F.size("v") == dim["d"]) & F.col("query").isNotNull())
+    r = r.where((F.size("v") == dim["d"]) & F.col("doc").isNotNull())
+    out = f"query {kind}, doc {kind}, score double"
+    first = asked.limit(query_block + 1).toArrow()  # bounded by the block
+    if not first.num_rows:
+        return rows.sparkSession.createDataFrame([], f"{out}, rank int")
+    if first.num_rows <= query_block:
+        return top(r.mapInArrow(_nearest(*_unit(first), top_k), out), top_k)
+    blocks, cells = -(-asked.count() // query_block), max(1, -(-r.count() // ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = r.select("doc", "v", F.pmod(F.xxhash64("doc"), F.lit(cells)).cast("int").alias("c"), every(blocks).alias("b"))
+    right = asked.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("b"), every(cells).alias("c"))
+    return top(left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(_cell(top_k), out), top_k)
 
 
 def _unit(t) -> tuple[pa.Array, np.ndarray]:
@@ -82,3 +71,18 @@ def _nearest(ids: pa.Array, q: np.ndarray, k: int):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), docs.take(pa.array(b)), pa.array(score[a, b])], names=["query", "doc", "score"])
 
     return run
+
+
+def _cell(k: int):
+    """One cell of the grid: its rows in slices against its queries."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = []
+        if rows.num_rows and asked.num_rows:
+            ids, q = _unit(asked.select(["query", "v"]))
+            batches = pa.Table.from_arrays([rows.column("doc"), rows.column("v")], names=["doc", "v"]).combine_chunks().to_batches(max_chunksize=10_000)
+            parts = list(_nearest(ids, q, k)(iter(batches)))
+        empty = pa.table({"query": asked.column("query").slice(0, 0), "doc": rows.column("doc").slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *[pa.Table.from_batches([p]) for p in parts]])
+
+    return run

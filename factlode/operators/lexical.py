@@ -10,10 +10,19 @@ from factlode.runtime import materialise, once_each, width
 K1, B = 1.2, 0.75
 
 
+def terms_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc and its terms in order.  Repeated rows of one id count once; null texts have no terms."""
+    d = once_each(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null"), "doc")
+    return d.select("doc", tokens(F.col("text")).alias("terms"))
+
+
+def _postings(terms: DataFrame) -> DataFrame:
+    return terms.select("doc", "len", F.explode("terms").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, doc, tf and the document's length in terms.  Repeated rows of one id count once; null texts have no terms."""
-    d = once_each(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null"), "doc").select("doc", tokens(F.col("text")).alias("terms"))
-    return d.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """term, doc, tf and the document's length in terms."""
+    return _postings(terms_of(docs, id_col, text_col).withColumn("len", F.size("terms")))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -29,13 +38,13 @@ def bm25_search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str,
     """
     if top_k <= 0 or k1 < 0 or not 0 <= b <= 1:
         raise ValueError("top_k must be positive, k1 not negative and b within [0, 1]")
-    # the corpus is cut into terms once; what it holds without terms counts as a document of no length
-    every = materialise(postings(docs, doc_id, doc_text), "postings")
-    n_docs = docs.agg(F.count_distinct(doc_id).alias("n_docs"))
-    size = every.agg(F.sum("tf").alias("all_terms")).crossJoin(F.broadcast(n_docs)).select("n_docs", (F.col("all_terms") / F.col("n_docs")).alias("avg_len"))  # one row each
+    # texts are cut into terms once; only the terms that are asked for become postings
+    every = materialise(terms_of(docs, doc_id, doc_text).withColumn("len", F.size("terms")), "terms")
+    size = every.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("avg_len"))  # one row
     q = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = every.select("doc", "len", F.explode("terms").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     # by document, so that scores are summed where their terms meet
-    post = every.join(q.select("term").distinct(), "term", "left_semi").repartition(width(docs.sparkSession), "doc")
+    post = materialise(wanted.repartition(width(docs.sparkSession), "doc").groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "postings")
     stats = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))

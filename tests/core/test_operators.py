@@ -35,19 +35,21 @@ def test_bm25(spark):
     assert lexical.bm25_search(docs.limit(0), q, "id", "t", "id", "t").count() == 0
 
 
-def test_dense(spark):
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_dense(spark, monkeypatch, block):
+    monkeypatch.setattr(dense, "ROW_BLOCK", 25)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 8), (102, [1.0]), (103, [float("nan")] * 8), (104, v[3].tolist())]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {(r.query, r["rank"]): r.doc for r in dense.dense_search(df, df.where("id < 5 or id > 99"), "id", "v", 4).collect()}
+    got = {(r.query, r["rank"]): r.doc for r in dense.dense_search(df, df.where("id < 5 or id > 99"), "id", "v", 4, block).collect()}
     u = np.vstack([v, v[3]])
     ids = [*range(60), 104]
     u = u / np.linalg.norm(u, axis=1)[:, None]
     for q in (0, 1, 2, 3, 4):
         order = sorted(zip(-np.round(u @ u[q], 6), ids))[:4]
         assert [got[q, k + 1] for k in range(4)] == [d for _, d in order]
-    assert (103, 1) not in got and dense.dense_search(df.limit(0), df, "id", "v").count() == 0
+    assert (103, 1) not in got and dense.dense_search(df.limit(0), df, "id", "v").count() == 0 and dense.dense_search(df, df.where("id < 0"), "id", "v").count() == 0
 
 
 def test_fusion(spark):
