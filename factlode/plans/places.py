@@ -14,7 +14,7 @@ from factlode.plans import sqltext as S
 from factlode.plans.pages import page_texts
 from factlode.plans.retrieval import SQL as _RETRIEVAL, chunks, gold
 from factlode.plans.structure import _PAGES
-from factlode.runtime import load, shared_dir
+from factlode.runtime import load, scratch
 from factlode.sources import files, jsonl, stores
 
 HOSTS = ["data.example"]
@@ -93,7 +93,7 @@ def text_digests(spark: SparkSession, d: str) -> DataFrame:
 
 def jsonl_questions(spark: SparkSession, d: str) -> DataFrame:
     """Questions written as lines of JSON and read again under a strict schema."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/jsonl-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/jsonl-{uuid.uuid4().hex}"
     jsonl.write_jsonl(gold(spark, d).select("question_id", "question", "answer", "answerable", "page_numbers"), path)
     schema = T.StructType([T.StructField("question_id", T.StringType(), False), T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("answerable", T.BooleanType()), T.StructField("page_numbers", T.ArrayType(T.IntegerType()))])
     return jsonl.read_jsonl(spark, path, schema)[0]
@@ -101,7 +101,7 @@ def jsonl_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_terms(spark: SparkSession, d: str) -> DataFrame:
     """Term statistics of an index that was stored and opened again without problems."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
     stores.save_index(load(spark, d, "chunk"), "chunk_id", "text", path)
     post, problems = stores.load_index(spark, path)
     if not problems.isEmpty():

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one: all tables that cut lineage lie in it."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's tables in the shared folder.  To be called when no result that was not written is read any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def once_each(df: DataFrame, key: str) -> DataFrame:
     """One row per ``key``, on as many partitions as there are cores at least: costly work may follow, so they are not to be merged for being small."""
     return df.repartition(width(df.sparkSession), key).dropDuplicates([key])
@@ -41,9 +52,9 @@ def width(spark: SparkSession) -> int:
 
 def materialise(df: DataFrame, tag: str = "t", by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there, so a lost executor costs
-    no recomputation and every reader sees the same rows.  by: a column whose values lie in folders of their own."""
+    no recomputation and every reader sees the same rows.  It lies there until ``clear``.  by: a column whose values lie in folders of their own."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -61,7 +61,14 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         E.upsert_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), ["id"], ["at"], str(tmp_path / "c")).awaitTermination()
         rows([(2, "2024-01-01 05:00:00", 9.0), (3, "2023-01-01 00:00:00", 4.0)]).coalesce(1).write.mode("append").parquet(str(src))
-    assert {r.id: r.v for r in E.current(spark, str(tmp_path / "t")).collect()} == {1: 3.0, 2: 9.0, 3: 4.0}
+    assert {r.id: r.v for r in E.current(spark, str(tmp_path / "t"), ["id"], ["at"]).collect()} == {1: 3.0, 2: 9.0, 3: 4.0}
+    for k in range(6):
+        rows([(7, f"2025-01-0{k + 1} 00:00:00", float(k)), (10 + k, "2025-01-01 00:00:00", 0.0)]).coalesce(1).write.mode("append").parquet(str(src))
+        E.upsert_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "u"), ["id"], ["at"], str(tmp_path / "cu"), 2).awaitTermination()
+    left = sorted(p.name.split("=") for p in (tmp_path / "u").iterdir() if "=" in p.name)
+    assert [int(n) for k, n in left if k == "base"] == [3, 5] and min(int(n) for k, n in left if k == "delta") == 4
+    got = {r.id: r.v for r in E.current(spark, str(tmp_path / "u"), ["id"], ["at"]).collect()}
+    assert got[7] == 5.0 and set(got) == {1, 2, 3, 7, *range(10, 16)} and E.current(spark, str(tmp_path / "none"), ["id"], ["at"]) is None
     stream = lambda: spark.readStream.schema(schema).parquet(str(src))
     for name, df in (("w", E.windowed(stream(), "at", ["id"], "v")), ("s", E.sessions(stream(), "at", "id")), ("d", E.without_repeats(stream(), "at", ["id"]))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
