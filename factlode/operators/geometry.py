@@ -132,3 +132,28 @@ def overlapping(boxes: DataFrame, key: str, share: float = SHARE) -> DataFrame:
     j = side(1).join(side(2), ["doc_id", "page"]).where(F.col(f"{key}_1") < F.col(f"{key}_2"))
     part = overlap_share("b1", "b2")
     return j.where(part >= share).select("doc_id", "page", f"{key}_1", f"{key}_2", F.round(part, 6).alias("overlap"), F.round(iou("b1", "b2"), 6).alias("iou"))
+
+
+def words_in(words: DataFrame, boxes: DataFrame, key: str, slack: float = 0.5) -> DataFrame:
+    """Words (doc_id, page, text, bbox) inside a box (``key``, doc_id, page, bbox) but for ``slack`` points: ``key``, text."""
+    w = words.select("doc_id", "page", "text", F.col("bbox").alias("w"))
+    j = w.join(boxes.select(key, "doc_id", "page", F.col("bbox").alias("b")), ["doc_id", "page"])
+    return j.where((F.col("w.x0") >= F.col("b.x0") - slack) & (F.col("w.x1") <= F.col("b.x1") + slack) & (F.col("w.y0") >= F.col("b.y0") - slack) & (F.col("w.y1") <= F.col("b.y1") + slack)).select(key, "doc_id", "page", "text")
+
+
+def same_row(labels: DataFrame, values: DataFrame, key: str, reach: float = 12.0) -> DataFrame:
+    """Values (doc_id, page, text, bbox) whose middle lies within ``reach`` points of that of a label (``key``, doc_id, page, bbox), up or down."""
+    mid = lambda b: (F.col(f"{b}.y0") + F.col(f"{b}.y1")) / 2
+    j = labels.select(key, "doc_id", "page", F.col("bbox").alias("a")).join(values.select("doc_id", "page", "text", F.col("bbox").alias("b")), ["doc_id", "page"])
+    return j.where(F.abs(mid("a") - mid("b")) <= reach).select(key, "doc_id", "page", "text")
+
+
+def assemble(blocks: DataFrame, tables: DataFrame, share: float = SHARE) -> DataFrame:
+    """One order of what a page holds: tables, and blocks that no table covers by ``share``, by height and then from the left: doc_id, page, ord, is_table, place.
+
+    A table goes before the text that it was made of; covered blocks are left out.
+    """
+    kept = uncovered(blocks, tables, share).select("doc_id", "page", "ord", "bbox", F.lit(False).alias("is_table"))
+    every = kept.unionByName(tables.select("doc_id", "page", "ord", "bbox", F.lit(True).alias("is_table")))
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("bbox.y0", "bbox.x0", F.desc("is_table"), "ord", "bbox.x1", "bbox.y1"))
+    return every.select("doc_id", "page", "ord", "is_table", place.alias("place"))

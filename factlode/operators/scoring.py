@@ -134,3 +134,31 @@ def holds(claim: str | None, evidence: str | None) -> bool | None:
 @F.pandas_udf(T.BooleanType())
 def supports(claim: pd.Series, evidence: pd.Series) -> pd.Series:
     return pd.Series([holds(c, e) for c, e in zip(claim, evidence)], dtype=object)
+
+
+def corroborate(answers: DataFrame, cited: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where the filings that a question cites hold its recorded answer: query, verdict, pages (that hold it).
+
+    answers: query, answer; cited: query, doc, page; pages: doc, page, text.  cited: a cited page holds it; elsewhere: another page of those
+    filings does; partial: a page holds one of its figures or terms; absent: none; unverifiable: the answer has neither figure nor term.
+    """
+    docs = cited.select("query", "doc").distinct()
+    own = cited.select("query", "doc", "page", F.lit(True).alias("own")).distinct()
+    a = answers.where("answer is not null")
+    j = a.join(docs, "query").join(pages, "doc").join(own, ["query", "doc", "page"], "left")
+    j = j.withColumn("all", F.coalesce(supports("answer", "text"), F.lit(False))).withColumn("some", F.coalesce(touches("answer", "text"), F.lit(False)))
+    g = j.groupBy("query").agg(F.count_if(F.col("all") & F.col("own").isNotNull()).alias("here"), F.count_if("all").alias("pages"), F.count_if("some").alias("some"))
+    verdict = F.when(~has_atoms("answer"), "unverifiable").when(F.col("here") > 0, "cited").when(F.col("pages") > 0, "elsewhere").when(F.col("some") > 0, "partial").otherwise("absent")
+    return a.join(g, "query", "left").select("query", verdict.alias("verdict"), F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+@F.pandas_udf(T.BooleanType())
+def touches(claim: pd.Series, evidence: pd.Series) -> pd.Series:
+    """Whether evidence holds one of the figures and terms of a claim."""
+    bare = lambda x: _one_form(x).replace(",", "")
+    return pd.Series([None if c is None or e is None else any(x in bare(e) for x in _ATOM.findall(bare(c))) for c, e in zip(claim, evidence)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def has_atoms(claim: pd.Series) -> pd.Series:
+    return pd.Series([bool(_ATOM.search(_one_form(c or "").replace(",", ""))) for c in claim], dtype=bool)

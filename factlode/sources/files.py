@@ -39,3 +39,15 @@ def identify(name: Column, cover: Column) -> list[Column]:
     code, year = F.coalesce(code_a, code_b), F.coalesce(year_a, year_b)
     status = F.when(clash, "CONFLICT").when(code.isNull() | year.isNull(), "UNKNOWN").otherwise("OK")
     return [code.alias("code"), year.alias("fiscal_year"), kind.alias("doc_type"), status.alias("status")]
+
+
+def rename_plan(found: DataFrame) -> DataFrame:
+    """Files (doc_id, name, code, fiscal_year, doc_type, status of ``identify``) with the name each should have: target and action.
+
+    keep: it has it; rename; conflict: two files ask for one name; unidentified: no name can be made (target null).
+    """
+    target = F.when((F.col("status") == "OK") & F.col("doc_type").isNotNull(), F.concat("code", F.lit("-FY"), F.col("fiscal_year").cast("string"), F.lit("-"), "doc_type", F.lit(".pdf")))
+    f = found.withColumn("target", target)
+    wanted = f.where("target is not null").groupBy("target").agg(F.count(F.lit(1)).alias("files"))
+    action = F.when(F.col("target").isNull(), "unidentified").when(F.col("files") > 1, "conflict").when(F.col("name") == F.col("target"), "keep").otherwise("rename")
+    return f.join(wanted, "target", "left").select("doc_id", "name", "target", action.alias("action"))
