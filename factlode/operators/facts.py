@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factlode.functions.keys import fold_width
+from factlode.operators.prefix import HOT_ROWS, running_sums
+from factlode.runtime import materialise, temp_name
 
 #: The identity of a fact; its source is a part of it.
 KEY = ["company_code", "period", "statement", "basis", "account", "source_kind", "source_ref"]
@@ -120,10 +122,25 @@ def cross_source(facts: DataFrame, tolerance: float = 0.005) -> DataFrame:
     return g.select(*POINT, "n", F.when(F.col("n") < 2, "MISS").when(ok, "AGREE").otherwise("DISAGREE").alias("verdict"), spread.alias("spread"))
 
 
-def carry_forward(rows: DataFrame, group: str, order: list[str], col: str) -> DataFrame:
-    """Fills ``col`` from the last row before that has one; inherited says where it did."""
+def carry_forward(rows: DataFrame, group: str, order: list[str], col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Fills ``col`` from the last row before that has one; inherited says where it did.
+
+    order should be total.  In a group of more than ``hot_rows`` rows the values are numbered in their order (running sums over ranges of it), and every row
+    takes the value of the number that it stands behind.
+    """
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("inherited", F.col(col).isNull()).withColumn(col, F.last(col, ignorenulls=True).over(w))
+    filled = lambda df: df.withColumn("inherited", F.col(col).isNull()).withColumn(col, F.last(col, ignorenulls=True).over(w))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    key, step, at, kept = (temp_name(rows.columns, n) for n in ("hot_group", "has_value", "value_number", "value_there"))
+    hot = materialise(sizes.select(F.col(group).alias(key)), "hot")
+    if hot.isEmpty():
+        return filled(rows)
+    same = F.col(group).eqNullSafe(F.col(key))
+    many = running_sums(rows.join(hot, same, "left_semi").withColumn(step, F.col(col).isNotNull().cast("long")), [group], order, {at: step}, hot_rows)
+    many = materialise(many, "numbered")
+    values = many.where(F.col(step) == 1).select(F.col(group).alias(key), F.col(at).alias(f"{at}_"), F.col(col).alias(kept))
+    got = many.join(values, same & (F.col(at) == F.col(f"{at}_")), "left").withColumn("inherited", F.col(col).isNull()).withColumn(col, F.coalesce(col, kept))
+    return filled(rows.join(hot, same, "left_anti")).unionByName(got.select(*rows.columns, "inherited"))
 
 
 def unpivot(rows: DataFrame, ids: list[str], columns: list[str], names: str = "account", values: str = "value") -> DataFrame:

@@ -296,3 +296,17 @@ def test_answers(spark):
     c = A.valid_citations(spark.createDataFrame([("q", [1, 9])], "query string, citations array<int>"), hits).collect()
     assert {(r.citation, r.valid) for r in c} == {(1, True), (9, False)}
     assert [r["rank"] for r in A.rerank(hits, F.lit(1.0)).orderBy("before").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("hot", [10**6, 5])
+def test_carry_forward(spark, hot):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i % 7, i, rng.choice([None, None, f"u{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, t int, i int, unit string")
+    got = {r.i: (r.unit, r.inherited) for r in facts.carry_forward(df, "g", ["t", "i"], "unit", hot).collect()}
+    for g in ("a", "b", None):
+        last = None
+        for _, t, i, u in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            last = u or last
+            assert got[i] == (last, u is None)
+    assert facts.carry_forward(df.limit(0), "g", ["t", "i"], "unit", hot).count() == 0
