@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factlode.operators.prefix import running_sums
@@ -15,16 +17,38 @@ BINS, PACKS = 100, 4096
 SEED = 20260731
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars: each node with the least node that they tie it to."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    stars = [(x, find(x)) for x in list(root)]
+    stars = [(x, r) for x, r in stars if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.string()) for i in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Of ``links`` (a, b: strings) the least node of each node's component: node, root.
 
-    Large-star and small-star steps by turns: every node points its greater neighbours, then all its neighbours, at the least node near it,
+    The links of a partition are contracted where they lie, to one link from each node to the least that they tie it to.  Then large-star and
+    small-star steps by turns: every node points its greater neighbours, then all its neighbours, at the least node near it,
     until nothing changes; the number of rounds grows with the logarithm of the largest component.  Each step is a
     grouping of distinct links whose lineage is cut in the shared folder.
     """
     both = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars = materialise(both.where("u != v"), "stars")
+    stars = materialise(both.where("u != v").mapInArrow(_contract, "u string, v string").distinct(), "stars")
 
     def least_near(edges: DataFrame) -> DataFrame:
         m = edges.groupBy("x").agg(F.min("y").alias("m"))
