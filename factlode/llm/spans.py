@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factlode.llm.bpe import codes
 from factlode.llm.encode import slices
-from factlode.llm.winnow import GRAM, SPAN, choose, gram_hashes, periodic_runs
+from factlode.llm.winnow import GRAM, SPAN, choose, gram_hashes, periodic_runs, side_hashes
 from factlode.runtime import materialise, shared_dir, width
 
 #: Runs of one level that are merged into one of the next, and batches that a table is taken in when it comes at once.
@@ -27,19 +27,27 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, gram: int, span: int, parts: int) -> DataFrame:
-    """print, cid, place and the least id of each chosen window of ``texts`` (id, cid, text), laid out by print in ``parts`` partitions."""
+    """print, cid, place, the least id, left and right (see ``side_hashes``) of each chosen window of ``texts`` (id, cid, text), laid out by print in ``parts`` partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, blob, sizes in slices(batch.column(2)):
-                owner, place, h = choose(codes(blob), sizes, gram, span)
+                cp = codes(blob)
+                owner, place, h = choose(cp, sizes, gram, span)
+                left, right, has_left, has_right = side_hashes(cp, sizes, owner, place, gram, span)
                 took = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(place, pa.int32()), pa.array(h.view(np.int64))], names=["id", "cid", "place", "print"])
+                sides = [pa.array(x.view(np.int64), mask=~there) for x, there in ((left, has_left), (right, has_right))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(place, pa.int32()), pa.array(h.view(np.int64)), *sides], names=["id", "cid", "place", "print", "left", "right"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.select("id", "cid", "text").mapInArrow(run, f"id {kind}, cid binary, place int, print bigint")
+    found = texts.select("id", "cid", "text").mapInArrow(run, f"id {kind}, cid binary, place int, print bigint, left bigint, right bigint")
     # laid out by print at once, so that neither the grouping nor the run needs another exchange
-    return found.repartition(parts, "print").groupBy("print", "cid", "place").agg(F.min("id").alias("id"))
+    return _once(found.repartition(parts, "print"))
+
+
+def _once(prints: DataFrame) -> DataFrame:
+    """One row for each place of a text, however many documents have it."""
+    return prints.groupBy("print", "cid", "place").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
 
 
 class FingerprintIndex:
@@ -63,8 +71,8 @@ class FingerprintIndex:
             for r in spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/version={newest}").collect():  # a row per run: their number grows with the logarithm of the batches
                 self.gram, self.span, self.buckets, self.id_type = r["gram"], r["span"], r["buckets"], r["id_type"]
                 self.runs.append((r["level"], r["run"]))
-        if not 0 < self.gram < self.span:
-            raise ValueError("a gram must be shorter than the span")
+        if not 0 < 2 * self.gram < self.span:
+            raise ValueError("a gram must be shorter than half the span, so that the ends of periodic runs meet as whole")
 
     def _manifests(self) -> DataFrame:
         return self.spark.read.schema(_MANIFEST + ", version int").json(f"{self.path}/manifest")
@@ -82,13 +90,13 @@ class FingerprintIndex:
     def _read(self, run: str) -> DataFrame:
         """A stored run, known to lie in sorted buckets."""
         if not self.spark.catalog.tableExists(run):
-            cols = f"print BIGINT, cid BINARY, place INT, id {self.id_type}"
+            cols = f"print BIGINT, cid BINARY, place INT, id {self.id_type}, left BIGINT, right BIGINT"
             self.spark.sql(f"CREATE TABLE {run} ({cols}) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
         return self.spark.table(run)
 
     def _write(self, prints: DataFrame) -> str:
         run = f"run_{uuid.uuid4().hex}"
-        prints.select("print", "cid", "place", "id").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{run}").saveAsTable(run)
+        prints.select("print", "cid", "place", "id", "left", "right").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{run}").saveAsTable(run)
         return run
 
     def add(self, texts: DataFrame) -> None:
@@ -129,18 +137,23 @@ class FingerprintIndex:
             merged = self._read(same[0])
             for r in same[1:]:
                 merged = merged.unionAll(self._read(r))
-            merged = merged.repartition(self.buckets, "print").groupBy("print", "cid", "place").agg(F.min("id").alias("id"))
+            merged = _once(merged.repartition(self.buckets, "print"))
             self.runs = [(n, r) for n, r in self.runs if n != level] + [(level + 1, self._write(merged))]
             level += 1
 
     def _places(self) -> DataFrame:
-        """Windows whose hash stands in at least two different texts: cid, id, places."""
+        """Windows that may lie in a span of two different texts: cid, id, places.
+
+        Their hash stands in two texts, and so does one of them with half of what it lacks to a span on either side.
+        """
         hits = self.hits[0]
         for h in self.hits[1:]:
             hits = hits.unionAll(h)
-        hits = hits.groupBy("print", "cid", "place").agg(F.min("id").alias("id"))
-        many = hits.groupBy("print").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a != b").select("print")
-        return hits.join(many, "print").groupBy("cid", "id").agg(F.collect_set("place").alias("places"))
+        hits = materialise(_once(hits), "places")
+        sides = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("side"), F.col(c).alias("h"))) for i, c in enumerate(("left", "right"))]))
+        each = hits.select("print", "cid", "place", "id", F.explode(sides).alias("k")).select("print", "cid", "place", "id", "k.side", "k.h")
+        many = each.groupBy("print", "side", "h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a != b").select("print", "side", "h")
+        return each.join(many, ["print", "side", "h"], "left_semi").groupBy("cid", "id").agg(F.collect_set("place").alias("places"))
 
     def _at_places(self, texts: DataFrame) -> DataFrame:
         return texts.join(self._places(), ["id", "cid"]).select("cid", "text", "places")

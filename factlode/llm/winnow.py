@@ -110,6 +110,23 @@ def periodic_runs(cp: np.ndarray, places: list[int], gram: int) -> list[tuple[in
     return out
 
 
+def side_hashes(cp: np.ndarray, lengths: np.ndarray, owner: np.ndarray, place: np.ndarray, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of grams of texts that lie one behind the other: the hash of each with half of what it lacks to a span on its left, the same on its right, and where there are so many characters.
+
+    A span that two texts share reaches that far to one side at least of every gram in it, so grams that neither hash meets elsewhere lie in none.
+    """
+    half = (span - gram + 1) // 2
+    begin = (np.cumsum(lengths) - lengths)[owner]
+    at = begin + place
+    h = gram_hashes(cp, gram + half)
+    left, right = place >= half, place + gram + half <= lengths[owner]
+    none = np.zeros(len(at), np.uint64)
+    if not len(h):
+        return none, none, np.zeros(len(at), bool), np.zeros(len(at), bool)
+    last = len(h) - 1
+    return h[np.clip(at - half, 0, last)], h[np.clip(at, 0, last)], left, right
+
+
 def choose(cp: np.ndarray, lengths: np.ndarray, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that lie one behind the other in ``cp``: the text, the place in it and the hash of each chosen gram.
 
