@@ -10,7 +10,9 @@ from factlode.functions import fields as R
 from factlode.functions.keys import company_code
 from factlode.functions.text import REFUSALS
 from factlode.operators import answering, capability as K, geometry as G, lexical, pages as P, scoring
+from factlode.operators.questions import ROUTE_OF
 from factlode.plans import sqltext as S
+from factlode.plans.answering import SQL as _ANSWERING
 from factlode.plans.pages import page_texts
 from factlode.plans.retrieval import SQL as _RETRIEVAL, chunks, gold
 from factlode.plans.structure import _PAGES
@@ -165,6 +167,20 @@ _REPUBLIC = r"([^0-9])(?:民國)?([0-9]{2,3})\s*年"
 _ERA = lambda c: f"substring(array_to_string(list_transform(string_split_regex(' ' || {c}, '{_REPUBLIC}'), lambda x, i: x || coalesce(regexp_extract_all(' ' || {c}, '{_REPUBLIC}', 1)[i] || (cast(regexp_extract_all(' ' || {c}, '{_REPUBLIC}', 2)[i] as integer) + 1911) || '年', '')), ''), 2)"
 _FORM = lambda c: f"replace(lower({S.no_space(f"replace(regexp_replace({S.fold(_ERA(c))}, '新台幣|新臺幣|NT\\$|NTD|TWD|\\$', 'TWD', 'g'), ',', '')")}), 'ß', 'ss')"
 _COMMON = "list_sum(list_transform(list_distinct(x), lambda g: least(len(list_filter(x, lambda y: y = g)), len(list_filter(z, lambda y: y = g)))))"
+_FIGURES = lambda c: f"regexp_replace(regexp_replace(regexp_replace({S.no_space(f"replace({S.fold(c)}, ',', '')")}, '[(]([0-9][0-9.]*)[)]', '-\\1', 'g'), case when trim(unit) <> '' then '([0-9])' || regexp_escape(trim({S.fold('unit')})) else '([0-9])$^' end, '\\1 ', 'g'), '-?[0-9]+(?:[.][0-9]+)?年', ' ', 'g')"
+_NUMBERS = lambda c: f"list_transform(range(1, len(regexp_extract_all({_FIGURES(c)}, '(-?[0-9]+(?:[.][0-9]+)?)([億萬千])?', 1)) + 1), lambda i: cast(regexp_extract_all({_FIGURES(c)}, '(-?[0-9]+(?:[.][0-9]+)?)([億萬千])?', 1)[i] as double) * case regexp_extract_all({_FIGURES(c)}, '(-?[0-9]+(?:[.][0-9]+)?)([億萬千])?', 2)[i] when '億' then 1e8 when '萬' then 1e4 when '千' then 1e3 else 1 end)"
+
+
+def scores_sql(rows: str) -> str:
+    """Scores of rows (question_id, answer, acceptable_variants, unit, period, tolerance, answerable, predicted, predicted_unit, predicted_period)."""
+    return f"""(with s0 as (select *, {_FORM("coalesce(predicted, '')")} p, {_FORM('answer')} w, {_NUMBERS("coalesce(predicted, '')")} got, {_NUMBERS('answer')} wanted from {rows}), s1 as (select *, {S.bigrams('p')} x, {S.bigrams('w')} z from s0),
+s2 as (select question_id, answerable, coalesce(p = w, false) or list_contains(list_transform(coalesce(acceptable_variants, []), lambda v: lower({S.no_space("replace(v, ',', '')")})), p) "exact", case when w is not null then round(case when len(x) + len(z) > 0 then 2.0 * coalesce({_COMMON}, 0) / (len(x) + len(z)) else 1.0 end, 6) end f1,
+case when answer is null or len(wanted) = 0 then null when len(got) <> len(wanted) then false else len(list_filter(range(1, len(wanted) + 1), lambda i: not case when tolerance.type = 'absolute' then abs(got[i] - wanted[i]) <= coalesce(tolerance.value, 0) when tolerance.type = 'relative' and wanted[i] <> 0 then abs(got[i] - wanted[i]) <= coalesce(tolerance.value, 0) * abs(wanted[i]) else got[i] = wanted[i] end)) = 0 end "numeric",
+case when unit is not null then coalesce({S.canonical_unit('predicted_unit')} = {S.canonical_unit('unit')}, false) end unit_ok, coalesce({_FORM('predicted_period')} = {_FORM('period')}, false) period_ok, {" or ".join(f"contains(p, '{r}')" for r in REFUSALS)} refused from s1)
+select question_id, "exact", f1, "numeric", unit_ok, period_ok, refused, not answerable should_refuse, case when not answerable then refused else not refused and (coalesce("numeric", false) or "exact") and coalesce(unit_ok, true) and period_ok end correct from s2)"""
+
+
+_ANSWERED = "(select question_id, answer, acceptable_variants, unit, period, tolerance, answerable, coalesce(acceptable_variants[1], answer, '文件中沒有') predicted, unit predicted_unit, period predicted_period from (select question_id, any_value(answer) answer, any_value(acceptable_variants) acceptable_variants, any_value(unit) unit, any_value(period) period, any_value(tolerance) tolerance, any_value(answerable) answerable from gold where question_id is not null group by 1))"
 _PLAIN = lambda c: f"coalesce({c} <> '' and not regexp_matches({c}, '^/|^[A-Za-z]:|\\\\|(^|/)[.]{{1,2}}(/|$)|//|/$'), false)"
 SQL = {
     "page_extents": f"select doc_id, page, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from {_BOX} group by all",
@@ -184,6 +200,13 @@ select question_id, p = w "exact", round(case when len(x) + len(z) > 0 then 2.0
     "index_rows": f"with c as (select * from {_C} where text is not null), r as (select doc_id, text from c union all select doc_id, text from c where list_contains(kinds, 'caption')) select doc_id, count(*) \"rows\", cast(sum(length(text)) as bigint) characters from r group by 1",
     "stored_terms": _RETRIEVAL["term_stats"],
     "vector_checks": "with e as (select list_transform(embedding, lambda x: cast(x as double)) v, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) n from embeddings), w as (select case when v is null then 'null' when len(v) <> 64 then 'dimension' when n is null or isnan(n) or isinf(n) then 'not_finite' when n = 0 then 'zero' when abs(n - 1) > 0.001 then 'not_unit' end problem from e) select problem, count(*) n from w where problem is not null group by 1",
+    "answer_scores": f"select * from {scores_sql(_ANSWERED)}",
+    "protocol_scores": f'with s as {scores_sql(_ANSWERED)} select case when should_refuse then refused when refused then false else coalesce("numeric", "exact" or coalesce(f1 >= 0.8, false)) end "right", correct, count(*) n from s group by all',
+    "ladder_summary": f"""with l as ({_ANSWERING['ladder']}), g as (select question_id, any_value(question_type) category, any_value(answer) answer, any_value(acceptable_variants) acceptable_variants, any_value(unit) unit, any_value(period) period, any_value(tolerance) tolerance, any_value(answerable) answerable from gold where question_id is not null group by 1),
+r as (select l.factor || '|' || l.question_id question_id, answer, acceptable_variants, unit, period, tolerance, answerable, said predicted, said_unit predicted_unit, said_period predicted_period from l join g using (question_id)), c as (select question_id, correct from {scores_sql('r')}),
+e as (select l.*, g.category, g.answerable, c.correct, case g.category {' '.join(f"when '{a}' then '{b}'" for a, b in ROUTE_OF.items())} end gold_route from l join g using (question_id) join c on c.question_id = l.factor || '|' || l.question_id),
+m as (select factor, unnest([{{'m': 'accuracy', 's': true, 'h': correct}}, {{'m': 'citation', 's': cited_ok is not null, 'h': cited_ok}}, {{'m': 'numeric_route', 's': category in ('numeric_calculation', 'cross_period_comparison') and answerable and handled_route = 'numeric', 'h': correct}}, {{'m': 'route', 's': true, 'h': route = gold_route}}, {{'m': 'over_answer', 's': category = 'unanswerable', 'h': not refused}}, {{'m': 'refusal_precision', 's': refused, 'h': not answerable}}]) x from e),
+n as (select factor, x.m measure, count_if(x.s) n, count_if(x.s and x.h) k from m group by all) select factor, measure, n, k, case when n > 0 then round(k / n, 6) end rate from n""",
     "rung_list": "select * from (values " + ", ".join(f"('{f}', '{p}', '{m}', {n}, {c}, {t})" for f, p, m, n, c, t in answering.LADDER) + ') l(factor, parser, mode, "numeric", chart, committed)',
     "ordered_records": f"select distinct doc_id, '{{\"code\":\"' || {S.company_code('company.code')} || '\",\"type\":\"' || doc_type || '\",\"year\":\"' || fiscal_year || '\"}}' json from filing",
     "plain_paths": f"select {_PLAIN('source_ref')} ref_ok, {_PLAIN('source_url')} url_ok, count(*) n from fin_line_item group by all",
