@@ -78,5 +78,14 @@ select *, case when pages < 20 then 'too_short' when readable = 0 then 'unusable
 k as (select doc_id, key, count(distinct page) on_pages from l where key <> '' group by all) select doc_id, key, on_pages from k join n using (doc_id) where on_pages >= greatest(2, floor(pages * 0.5))""",
     "fixed_chunks": f"""with d as (select doc_id, text, unnest(range(0, greatest(0, cast(ceil((length(text) - 800) / 700.0) as bigint) * 700) + 1, 700)) start from documents where length(text) > 0), w as (select doc_id, start, substring(text, start + 1, 800) text from d), i as (select * from w where length({S.no_white('text')}) > 0)
 select doc_id, cast(row_number() over (partition by doc_id order by start) - 1 as integer) chunk, cast(start as integer) "start", text from i""",
+    "section_chunks": """with recursive b as (select doc_id, pages[1] page, kinds[1] kind, coalesce(text, '') text, coalesce(section_path, []) path, row_number() over (partition by doc_id order by chunk_index, chunk_id) i
+from (select chunk_id, any_value(doc_id) doc_id, any_value(chunk_index) chunk_index, any_value(pages) pages, any_value(kinds) kinds, any_value(text) text, any_value(section_path) section_path from chunk where chunk_id is not null group by chunk_id) where len(pages) > 0 and len(kinds) > 0),
+a as (select *, kind in ('table', 'figure', 'caption') atomic from b), s as (select *, i = 1 or atomic or lag(atomic) over w or path <> lag(path) over w st from a window w as (partition by doc_id order by i)),
+r(doc_id, i, held, c) as (select doc_id, i, length(text), 1 from s where i = 1 union all select s.doc_id, s.i, case when s.st or r.held + length(s.text) > 1200 then length(s.text) else r.held + length(s.text) end, r.c + case when s.st or r.held + length(s.text) > 1200 then 1 else 0 end from r join s on s.doc_id = r.doc_id and s.i = r.i + 1),
+g as (select doc_id, c, any_value(path) path, string_agg(text, chr(10) order by i) body, list(page order by i) pages, list(kind order by i) kinds, bool_or(atomic) atomic from s join r using (doc_id, i) group by doc_id, c),
+m(doc_id, c, o, path, atomic) as (select doc_id, c, 1, path, atomic from g where c = 1 union all select doc_id, c, o + case when can then 0 else 1 end, case when not can or path = was then path else path[1 : len(path) - 1] end, not can and atomic from (select g.doc_id, g.c, m.o, g.path, m.path was, g.atomic, not g.atomic and not m.atomic
+and case when len(g.path) > 0 then length(array_to_string(g.path, ' > ')) + 1 else 0 end + length(g.body) < 200 and (g.path = m.path or (len(g.path) = len(m.path) and len(g.path) >= 2 and g.path[1 : len(g.path) - 1] = m.path[1 : len(m.path) - 1])) can from m join g on g.doc_id = m.doc_id and g.c = m.c + 1)),
+f as (select doc_id, o, arg_max(m.path, c) path, string_agg(body, chr(10) order by c) body, flatten(list(pages order by c)) pages, flatten(list(kinds order by c)) kinds from m join g using (doc_id, c) group by doc_id, o)
+select doc_id, cast(o - 1 as integer) chunk, case when len(path) > 0 then array_to_string(path, ' > ') || chr(10) else '' end || body text, path section_path, list_sort(list_distinct(pages)) pages, list_filter(kinds, lambda x, i: list_position(kinds, x) = i) kinds from f""",
     "chunk_stats": f"select parser, count(*) n, round(avg(length(text)), 6) mean_chars, max(length(text)) max_chars, count_if(len(section_path) > 0) with_section, count_if(len(pages) > 1) cross_page from {S.CHUNKS} group by parser",
 }
