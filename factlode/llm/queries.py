@@ -107,6 +107,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[1]
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with their documents, whether no document of theirs was used more often than allowed, and whether the tokens meant for them came within a hundredth, or two documents, of it."""
+    drawn, shares = mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))
+    most = drawn.groupBy("source").agg(F.max("copy").alias("most"), F.max("n_tokens").alias("longest"))
+    j = shares.where("source is not null and docs > 0").join(most, "source", "left")
+    near = F.abs(F.col("used_tokens") - F.col("target_tokens")) <= F.greatest(F.col("target_tokens") / 100, 2 * F.coalesce("longest", F.lit(0)))
+    return j.select("source", "docs", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_cap"), near.alias("on_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return span_pairs(load(spark, d, "documents"))
 
@@ -115,7 +124,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return span_shares(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p3_lossless, p4_found, p4_splits, p4_groups, p4_periods, p5_found, p5_restored, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p2_report, p3_found, p3_pieces, p3_lossless, p4_found, p4_splits, p4_groups, p4_periods, p5_found, p5_restored, p7_ids, p7_round_trip, p8_mix, p8_shares, p8_kept, p9_found, p9_shared)}
 _OWN = f"list_distinct(list_filter([{S.company_code('company.code')}] || list_transform(coalesce(source_document, []), lambda x: substring({S.filing_id('x')}, 1, 4)), lambda c: c is not null))"
 _PHRASES = O._PHRASE.pattern.replace("\\", "\\\\")
 _EDGES = r"^[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
@@ -141,6 +150,7 @@ select question_set, filing, count(*) questions, cast(sum(n) as bigint) pairs fr
 with recursive q as (select distinct question_id, unnest({_OWN}) c from gold where question_id is not null), e as (select distinct a.c x, b.c y from q a join q b using (question_id)),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x), g as (select x, min(y) root from r group by x)
 select root group_code, count(distinct question_id) questions, cast(1 as bigint) splits from q join g on q.c = g.x group by root""",
+    "p8_kept": r"""with d as (select nullif(regexp_replace(regexp_replace(lower(source), '^[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g'), '[\s\x{A0}\x{3000}_-]+', '_', 'g'), '') source from documents) select source, count(*) docs, true within_cap, true on_target from d where source is not null group by 1""",
     "p7_round_trip": "select doc_id, sha256(coalesce(text, '')) sha256 from documents",
     "p4_found": f"""
 with recursive q as (select distinct question_id, unnest({_OWN}) c from gold where question_id is not null), e as (select distinct a.c x, b.c y from q a join q b using (question_id)),
