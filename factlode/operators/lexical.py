@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factlode.functions.text import tokens
+from factlode.operators import bm25
 from factlode.runtime import materialise, once_each, width
 
 K1, B = 1.2, 0.75
@@ -33,24 +35,33 @@ def term_stats(post: DataFrame) -> DataFrame:
 def bm25_search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, top_k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """The ``top_k`` documents of each query by BM25: query, doc, score, rank; ties by doc, only documents that share a term.
 
-    Query terms meet postings on the term; the query side is as small as the batch and Spark broadcasts it if it fits.
+    Every query is searched over every document.  Texts are cut into terms once, where they lie, and kept as numbers and counts of the terms that
+    are asked for, in the shared folder.  Each task takes its queries through that index part by part, so neither postings nor scores are
+    shuffled (``bm25.best_of``).  The distinct terms of all queries, with their document frequencies, go to every task.
     Scores are rounded to six places before ranking, so that the order of summing does not decide.
     """
     if top_k <= 0 or k1 < 0 or not 0 <= b <= 1:
         raise ValueError("top_k must be positive, k1 not negative and b within [0, 1]")
-    # texts are cut into terms once; only the terms that are asked for become postings
-    every = materialise(terms_of(docs, doc_id, doc_text).withColumn("len", F.size("terms")), "terms")
-    size = every.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("avg_len"))  # one row
-    q = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = every.select("doc", "len", F.explode("terms").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    # by document, so that scores are summed where their terms meet
-    post = materialise(wanted.repartition(width(docs.sparkSession), "doc").groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "postings")
-    stats = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    hits = post.join(stats, "term").join(q, "term").crossJoin(F.broadcast(size))  # size is one row
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
-    return top(scored, top_k)
+    spark = docs.sparkSession
+    n = width(spark)
+    q = queries.select(F.col(query_id).alias("query"), tokens(F.col(query_text)).alias("terms"))
+    q = materialise(q.repartition(n, "query").groupBy("query").agg(F.flatten(F.collect_list("terms")).alias("terms")), "queries")
+    words = q.select(F.explode("terms").alias("term")).distinct().toArrow().column("term").combine_chunks().sort()
+    d = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("terms")).where("doc is not null")
+    kind = d.schema["doc"].dataType.simpleString()
+    # packed before equal ids meet, so that no text is shuffled
+    packed = materialise(once_each(d.mapInArrow(bm25.packer(words), f"doc {kind}, len int, terms array<int>, tfs array<int>"), "doc"), "packed")
+    size = packed.agg(F.count(F.lit(1)).alias("docs"), F.sum("len").alias("terms")).first()
+    out = f"query {q.schema['query'].dataType.simpleString()}, doc {kind}, score double, rank int"
+    if not size.docs or not len(words):
+        return spark.createDataFrame([], out)
+    often = packed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    df = np.zeros(len(words))
+    df[often.column("term").to_numpy()] = often.column("df").to_numpy()
+    average = max(1, size.terms) / size.docs  # without terms there are no postings
+    norm = lambda length: k1 * (1 - b + b * length / average)
+    idf = np.log(1 + (size.docs - df + 0.5) / (df + 0.5))
+    return q.repartition(n).mapInArrow(bm25.searcher(words, sorted(packed.inputFiles()), idf, norm, k1, top_k), out)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
