@@ -22,17 +22,12 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "gold").where("question_id is not null").dropDuplicates(["question_id"])
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    """The query set of searches: questions whose number is divisible by 50."""
-    return gold(spark, d).where("try_cast(regexp_extract(question_id, '([0-9]+)$', 1) as bigint) % 50 = 0")
-
-
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.term_stats(lexical.postings(load(spark, d, "chunk"), "chunk_id", "text"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_search(load(spark, d, "chunk"), asked(spark, d), "chunk_id", "text", "question_id", "question", 20)
+    return lexical.bm25_search(load(spark, d, "chunk"), gold(spark, d), "chunk_id", "text", "question_id", "question", 20)
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +109,7 @@ SQL = {
     "term_stats": f"with t as (select chunk_id, unnest({S.tokens('text')}) term from {S.CHUNKS}), p as (select term, chunk_id, count(*) tf from t group by all) select term, count(*) df, cast(sum(tf) as bigint) cf from p group by term",
     "bm25_topk": f"""with d as (select chunk_id doc, {S.tokens('text')} terms from {S.CHUNKS}), n as (select count(*) n_docs, avg(len(terms)) avg_len from d),
 p as (select doc, len(terms) len, unnest(terms) term from d), tf as (select doc, term, any_value(len) len, count(*) tf from p group by all), df as (select term, count(*) df from tf group by term),
-q as (select question_id query, unnest({S.tokens('question')}) term from {S.GOLD} where try_cast(regexp_extract(question_id, '([0-9]+)$', 1) as bigint) % 50 = 0), qt as (select query, term, count(*) qtf from q group by all),
+q as (select question_id query, unnest({S.tokens('question')}) term from {S.GOLD}), qt as (select query, term, count(*) qtf from q group by all),
 s as (select query, doc, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) score from tf join df using (term) join qt using (term), n group by query, doc),
 r as (select *, cast(row_number() over (partition by query order by score desc, doc) as integer) rank from s) select query, doc, score, rank from r where rank <= 20""",
     "dense_topk": """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings), u as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from e),

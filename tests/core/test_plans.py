@@ -1,6 +1,6 @@
 """Named queries on tables of a few rows."""
 
-from factlode.plans import evaluation, structure
+from factlode.plans import evaluation, retrieval, structure
 
 
 def test_prompts_of_every_question(spark, tmp_path):
@@ -28,3 +28,11 @@ def test_worklist_of_every_topic(spark, tmp_path):
     }
     assert {r.headings for r in rows if r.doc_id == "a"} == {"綜合損益表:1;資產負債表:4"}
     assert next(r for r in rows if r.topic == "eps").excerpt == "綜合損益表營業收入1,000每股盈餘2" and next(r for r in rows if r.topic == "eps").page_headings == "綜合損益表"
+
+
+def test_bm25_topk_searches_every_question(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([("Q-50", "毛利"), ("Q-51", "負債"), ("Q-x", "毛利"), ("Q-51", "負債"), ("Q-7", None), (None, "毛利")], "question_id string, question string").write.parquet(f"{d}/gold.parquet")
+    spark.createDataFrame([("c1", "毛利"), ("c2", "毛利 負債 負債"), ("c3", None), ("c1", "毛利")], "chunk_id string, text string").write.parquet(f"{d}/chunk.parquet")
+    got = sorted((r["query"], r["rank"], r.doc) for r in retrieval.bm25_topk(spark, d).collect())
+    assert got == [("Q-50", 1, "c1"), ("Q-50", 2, "c2"), ("Q-51", 1, "c2"), ("Q-x", 1, "c1"), ("Q-x", 2, "c2")]
