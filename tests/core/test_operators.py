@@ -310,3 +310,22 @@ def test_carry_forward(spark, hot):
             last = u or last
             assert got[i] == (last, u is None)
     assert facts.carry_forward(df.limit(0), "g", ["t", "i"], "unit", hot).count() == 0
+
+
+def test_similar_texts_shuffle_no_unlike_pairs(spark):
+    """Texts that share bigrams but are unlike: under 200 bytes a text are shuffled (339 when all that meet were)."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(30)) for _ in range(1200)]
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert similar_texts(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", 0.8)[0].count() == 0
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 200 * len(texts)
+
+
+def test_similar_texts_of_any_characters(spark):
+    """Characters of more than sixteen bits, single ones and the null character are told apart."""
+    texts = ["𠀀𠀁𠀂", "𠀀𠀁", "𠀁", "甲", "甲\x00", "\x00", "\x01", "𠀀𠀁𠀃", "𠀀𠀁 𠀂"]
+    pairs, members = similar_texts(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", 0.3)
+    assert {(r.id, r["class"]) for r in members.collect()} == {(i, i) for i in range(8)} | {(8, 0)}
+    assert {(r.class_1, r.class_2, r.similarity) for r in pairs.collect()} == {(0, 1, 0.5), (0, 7, 0.333), (1, 7, 0.5)}
