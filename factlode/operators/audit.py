@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from factlode.functions.keys import company_code, filing_id
 from factlode.operators.prefix import running_sums
 from factlode.operators.similarity import similar_texts
+from factlode.runtime import materialise
 
 #: Seed and size of the audit sample, and the type that is always in it.
 SEED, SIZE, ALWAYS = 20260731, 8, "chart_value_trend"
@@ -39,7 +40,8 @@ def leakage(gold: DataFrame, training: tuple[str, ...] = ("dev", "challenger"),
     docs = both(g.select("side", F.explode(F.transform("source_document", filing_id)).alias("key")), "document")
     q = g.select("question_id", "question", "side").dropDuplicates(["question_id"])
     pairs, members = similar_texts(q, "question_id", "question", threshold)
-    sides = members.join(q, members.id == q.question_id).groupBy("class").agg(F.collect_set("side").alias("sides"))
+    # read three times: written once, so that the texts are cut and shuffled once
+    sides = materialise(members.join(q, members.id == q.question_id).groupBy("class").agg(F.collect_set("side").alias("sides")), "sides")
     same = sides.where(F.size("sides") == 2).select(F.lit("question").alias("kind"), F.col("class").alias("key"))
     s = lambda i: sides.select(F.col("class").alias(f"class_{i}"), F.col("sides").alias(f"s{i}"))
     near = pairs.join(s(1), "class_1").join(s(2), "class_2").where(F.size(F.array_union("s1", "s2")) == 2)

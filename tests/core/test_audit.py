@@ -25,3 +25,15 @@ def test_citations(spark):
     e = spark.createDataFrame([("q", "page", "d", 3, None, None), ("q", "page", "d", 4, None, None), ("r", "table_cell", "d", 3, "收入", "112年度"), ("t", "page", "d", 1, None, None)], "query string, kind string, doc_id string, page int, row string, column string")
     got = {r["query"]: (r.met, r.valid) for r in grade_citations(c, e).collect()}
     assert got == {"q": (1, True), "r": (1, True), "s": (0, None), "t": (0, False), "u": (0, False)}
+
+
+def test_leakage_shuffles_no_unlike_pairs(spark):
+    """Unlike questions that share bigrams: under 400 bytes a question are shuffled (615 when all that meet were, and texts were cut three times)."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(30)) for _ in range(1200)]
+    g = spark.createDataFrame([(str(i), "dev", t, None, None) for i, t in enumerate(texts)], "question_id string, question_set string, question string, company struct<name:string,code:string>, source_document array<string>")
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert leakage(g).count() == 0
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 400 * len(texts)
